@@ -28,3 +28,4 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
+ORACLE: dict[str, str] = {}
