@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sheafwork.llm import confusables
+from sheafwork.llm import canonical, confusables, names
 from sheafwork.sources.tables import latest, table
 
 
@@ -27,5 +27,33 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.look_alike_groups(_written_texts(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "line_items").select(F.col("supplier").alias("name"))
+    return lines.unionByName(table(spark, sf_dir, "quote_headers").select(F.col("supplier").alias("name")))
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different supplier string with the key of its cluster."""
+    return names.link_names(_suppliers(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different supplier strings that name one firm or person."""
+    member = names.link_names(_suppliers(spark, sf_dir))
+    a, b = member.select("cluster", F.col("name").alias("name_a")), member.select("cluster", F.col("name").alias("name_b"))
+    return a.join(b, "cluster").where("name_a < name_b").select("name_a", "name_b")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place, maker and job-title cell (each once) and every heading with the entry it means, or -1."""
+    cells = table(spark, sf_dir, "grid_cells").where("cell_role in ('place', 'maker', 'job_title') and text is not null").select("cell_id", "cell_role", "text", "loaded_at")
+    once = latest(cells, "cell_id").select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), F.lit(0).alias("pos"), F.col("cell_role").alias("list_name"), "text")
+    heads = table(spark, sf_dir, "table_locations").select(F.col("loc_id").alias("row_id"), F.posexplode("column_heads").alias("pos", "text")).where("text is not null")
+    values = once.unionByName(heads.select(F.lit("location").alias("src"), "row_id", "pos", F.lit("template_field").alias("list_name"), "text"))
+    return canonical.map_values(values, table(spark, sf_dir, "ref_entries")).select("src", "row_id", "pos", "entry_id")
+
+
+QUERIES = {
+    "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found,
+}
 ORACLE: dict[str, str] = {}
