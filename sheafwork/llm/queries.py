@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sheafwork.llm import canonical, confusables, names
+from sheafwork.llm import canonical, confusables, listings, names
+from sheafwork.session import written
 from sheafwork.sources.tables import latest, table
 
 
@@ -53,7 +54,26 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.map_values(values, table(spark, sf_dir, "ref_entries")).select("src", "row_id", "pos", "entry_id")
 
 
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "line_items").select("item_id", F.col("supplier").alias("seller"), "description", "ref", "loaded_at")
+    entries = table(spark, sf_dir, "ref_entries").where("list_name = 'maker'")
+    return listings.match_listings(latest(lines, "item_id"), entries.select(F.col("canonical").alias("name")))
+
+
+def p1_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every readable line with the article it offers."""
+    return _articles(spark, sf_dir)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items that are one article."""
+    member = written(_articles(spark, sf_dir), "articles")
+    a, b = member.select("article", F.col("item_id").alias("item_a")), member.select("article", F.col("item_id").alias("item_b"))
+    return a.join(b, "article").where("item_a < item_b").select("item_a", "item_b")
+
+
 QUERIES = {
+    "p1_found": p1_found, "p1_articles": p1_articles,
     "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found,
 }
 ORACLE: dict[str, str] = {}
