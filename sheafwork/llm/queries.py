@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sheafwork.llm import canonical, confusables, listings, names
+from sheafwork.llm import canonical, confusables, listings, mixing, names, packing, subjects
+from sheafwork.llm.tokens import token_count
 from sheafwork.session import written
 from sheafwork.sources.tables import latest, table
 
@@ -72,8 +73,54 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "article").where("item_a < item_b").select("item_a", "item_b")
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of every pack."""
+    return packing.pack(written(_sizes(spark, sf_dir), "sizes"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, fill and lower bound of every pack."""
+    return packing.fill_report(p7_containers(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "subject_labels").select("doc_id", "subject")
+    return subjects.assign_subjects(docs, table(spark, sf_dir, "subject_areas"), labels)
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topic = _subjects(spark, sf_dir).groupBy("doc_id").agg(F.max_by("subject", F.struct("hits", "subject")).alias("topic"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.lower(F.substring("lang", 1, 2)).alias("lang"), token_count(F.col("text")).alias("tokens"))
+    return mixing.mix(docs.join(topic, "doc_id", "left"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of copies in the mixture."""
+    return _mixture(spark, sf_dir)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixing.mix_report(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the subjects it is about."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by subject."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_articles": p1_articles,
     "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_clusters": p5_clusters, "p6_found": p6_found,
+    "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition,
 }
 ORACLE: dict[str, str] = {}
