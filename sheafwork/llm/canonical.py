@@ -62,6 +62,9 @@ def _normal(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"norm": norms, "grams": [grams(n.replace(" ", "").replace(".", ""), Q) for n in norms]})
 
 
+_normal = _normal.asNondeterministic()  # else filters on its result are pushed below the grouping and normalise every row
+
+
 @F.pandas_udf(DoubleType())
 def _likeness(values: pd.Series, entries: pd.Series) -> pd.Series:
     return pd.Series([likeness(a, b) for a, b in zip(values, entries)], dtype="float64")

@@ -8,7 +8,6 @@ changes a look-alike letter only inside a word of mixed scripts.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -33,7 +32,7 @@ _RUN = re.compile(r"[^\W_]+", re.UNICODE)
 def _single() -> dict[int, str | None]:
     """Replacements of single characters by rule: width and font variants, joined forms, spaces, hyphens; invisible ones vanish."""
     table: dict[int, str | None] = {}
-    for code in range(0xA0, sys.maxunicode + 1):
+    for code in (*range(0xA0, 0x20000), *range(0xE0000, 0xE0080)):
         ch = chr(code)
         if _GONE.match(ch):
             table[code] = None
@@ -56,7 +55,7 @@ def _back() -> dict[str, dict[str, str]]:
     return out
 
 
-@lru_cache(100_000)
+@lru_cache(5_000)
 def _script(ch: str) -> str:
     return unicodedata.name(ch, "?").split(" ", 1)[0]
 

@@ -9,14 +9,14 @@ from functools import lru_cache
 from sheafwork.llm.confusables import clean_text
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def fold(text: str) -> str:
     """Consistent form, lower case, no accents, single spaces."""
     text = unicodedata.normalize("NFKD", clean_text(text).lower().replace("ß", "ss").replace("ø", "o"))
     return re.sub(r"\s+", " ", "".join(c for c in text if not unicodedata.combining(c))).strip()
 
 
-@lru_cache(500_000)
+@lru_cache(50_000)
 def distance(a: str, b: str) -> int:
     """Edits between two strings, a swap of neighbours counting once (optimal string alignment)."""
     if a == b:
