@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sheafwork.plans import instants, units
+from sheafwork.plans import instants, layout, texts, units
 
-_MODULES = (instants, units)
+_MODULES = (instants, units, texts, layout)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
