@@ -159,7 +159,7 @@ def _infer(s: Column) -> Column:
 
     pct = rf"^(-?)({NUM})%$"
     n = get(pct, 2)
-    percent = F.when(s.rlike(pct) & ~has_leading_zero(n) & digits, out("percent", (value(n, get(pct, 1) == "-") / 100).cast("decimal(28,8)"), no_date, F.concat(numeric_pattern(n), F.lit("%"))))
+    percent = F.when(s.rlike(pct) & ~has_leading_zero(n) & digits & ((get(pct, 1) == "") | (value(n, F.lit(False)) != 0)), out("percent", (value(n, get(pct, 1) == "-") / 100).cast("decimal(28,8)"), no_date, F.concat(numeric_pattern(n), F.lit("%"))))
 
     pre, suf = rf"^(-?)({SIGN}|[A-Z]{{3}}{SPACE})({NUM})$", rf"^(-?)({NUM})({SIGN}|{SPACE}[A-Z]{{3}})$"
     pn, sn, q = get(pre, 3), get(suf, 2), F.lit('"')

@@ -44,7 +44,7 @@ def islands(df: DataFrame, keys: list[str], value: str, tol: float) -> DataFrame
 
 def cluster_positions(df: DataFrame, keys: list[str], value: str, tol: float = 2.0) -> DataFrame:
     """Single-linkage clusters in one dimension: keys, position (mean), members."""
-    return islands(df, keys, value, tol).groupBy(*keys, "island").agg(F.round(F.avg(value), 6).alias("position"), F.count("*").alias("members")).drop("island")
+    return islands(df, keys, value, tol).groupBy(*keys, "island").agg(F.round(F.avg(value), 9).alias("position"), F.count("*").alias("members")).drop("island")
 
 
 def interval_islands(df: DataFrame, keys: list[str], low: str, high: str, tol: float, *order: str) -> DataFrame:

@@ -85,14 +85,17 @@ def to_utc(df: DataFrame, zones: DataFrame, labels: DataFrame, text: str = "text
     A zone in the text (offset, label or region) comes before `zone`; a text that needs one and has neither
     is null. A numeric date with two readings follows `day_first` and is null without it. A wall time that
     occurs twice is its first occurrence; one that is skipped takes the offset before the change. Null,
-    blank, impossible or foreign texts give null. Repeated rows are kept; other columns pass through.
+    blank, impossible or foreign texts give null. Repeated rows are kept; other columns pass through, whatever
+    their names; a column `utc_us` of the input is replaced.
     """
     pick = {name: F.nullif(F.element_at("_p", i + 2), F.lit("")) for i, name in enumerate(_FIELDS)}
     num = {k: pick[k].cast("int") for k in ("y", "mo", "d", "na", "nb", "h", "mi", "s")}
     month = F.lower(pick["mn"])
     named = F.coalesce(*[F.when(month.isin(*names), F.lit(n)) for n, names in MONTHS.items()])
     year = F.coalesce(num["y"], pick["y2"].cast("int") + F.when(F.length(pick["y2"]) == 2, 2000).otherwise(0))
-    fold = extract_components(df, text)
+    keep = [c for c in df.columns if c != "utc_us"]
+    packed = df.select(F.struct(*keep).alias("__row"), F.col(text).alias("__text"), F.col(zone).alias("__zone"), F.col(day_first).cast("boolean").alias("__first"))
+    fold = extract_components(packed, "__text")
     parts = fold.select(
         "*", year.alias("_y"), F.coalesce(num["mo"], named).alias("_m"), num["d"].alias("_d"), num["na"].alias("_a"), num["nb"].alias("_b"),
         num["h"].alias("_h"), F.coalesce(num["mi"], F.lit(0)).alias("_mi"), F.coalesce(num["s"], F.lit(0)).alias("_s"),
@@ -104,7 +107,7 @@ def to_utc(df: DataFrame, zones: DataFrame, labels: DataFrame, text: str = "text
     day, month_ = F.col("_d"), F.col("_m")
     a, b, y = F.col("_a"), F.col("_b"), F.col("_y")
     dm, md = _real(y, b, a), _real(y, a, b)
-    first = F.when(dm & md & (a != b), F.col(day_first)).when(dm, F.lit(True)).when(md, F.lit(False))
+    first = F.when(dm & md & (a != b), F.col("__first")).when(dm, F.lit(True)).when(md, F.lit(False))
     dated = parts.withColumns({"_d": F.when(a.isNull(), day).when(first, a).when(~first, b), "_m": F.when(a.isNull(), month_).when(first, b).when(~first, a)})
     hour = F.col("_h")
     half = F.when(hour.between(1, 12), hour % 12 + F.when(F.col("_ap") == "p", 12).otherwise(0))
@@ -130,7 +133,7 @@ def to_utc(df: DataFrame, zones: DataFrame, labels: DataFrame, text: str = "text
     region = zones.select(F.col("zone_key").alias("_rg"), F.col("zone_id").alias("_rid"))
     issuer = zones.select(F.col("zone_key").alias("_ik"), F.col("zone_id").alias("_iid"))
     joined = (
-        dated.withColumn("_ik", F.lower(F.trim(F.col(zone))))
+        dated.withColumn("_ik", F.lower(F.trim("__zone")))
         .join(label, "_zl", "left").join(region, "_rg", "left").join(issuer, "_ik", "left")
     )
     base = F.when(F.col("_zl").isNull(), F.lit(0)).when(F.col("_zl") == "z", F.lit(0)).otherwise(F.col("_lo"))
@@ -139,7 +142,7 @@ def to_utc(df: DataFrame, zones: DataFrame, labels: DataFrame, text: str = "text
     rules = F.when(F.col("_rg").isNotNull(), F.col("_rid")).otherwise(F.col("_iid"))
     local = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("_wall"), rules))
     instant = F.when(F.col("_ep").isNotNull(), F.col("_epoch")).when(given & F.col("_rg").isNull(), F.col("_wall") - offset.cast("long") * 60000000).otherwise(local)
-    return joined.select(*[F.col(c) for c in df.columns], instant.alias("utc_us"))
+    return joined.select("__row.*", instant.alias("utc_us"))
 
 
 def _micros(fraction: Column) -> Column:

@@ -57,8 +57,8 @@ def gap_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return Y.outlier_gaps(lines(spark, sf))
 
 
-@query("outlier_bounds", f"""WITH {_L}, {_OUT}, i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_number ORDER BY position ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN position - lag(position) OVER (PARTITION BY doc_id, page_number ORDER BY position) <= 10 THEN 0 ELSE 1 END AS n FROM o))
-    SELECT doc_id, page_number, round(avg(position), 6) AS position, count(*) AS members FROM i GROUP BY doc_id, page_number, island HAVING count(*) >= 2""")
+@query("outlier_bounds", f"""WITH {_L}, {_OUT}, i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_number ORDER BY position, line, gap ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN position - lag(position) OVER (PARTITION BY doc_id, page_number ORDER BY position, line, gap) <= 10 THEN 0 ELSE 1 END AS n FROM o))
+    SELECT doc_id, page_number, round(avg(position), 9) AS position, count(*) AS members FROM i GROUP BY doc_id, page_number, island HAVING count(*) >= 2""")
 def outlier_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Column boundaries where outlier gaps of two or more lines meet."""
     return Y.outlier_columns(lines(spark, sf), members=2)
@@ -89,8 +89,8 @@ def corridor_seps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("cluster_1d", """
-    WITH i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_number ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page_number ORDER BY x0) <= 2 THEN 0 ELSE 1 END AS n FROM words))
-    SELECT doc_id, page_number, round(avg(x0), 6) AS position, count(*) AS members FROM i GROUP BY doc_id, page_number, island""")
+    WITH i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_number ORDER BY x0, word_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page_number ORDER BY x0, word_id) <= 2 THEN 0 ELSE 1 END AS n FROM words))
+    SELECT doc_id, page_number, round(avg(x0), 9) AS position, count(*) AS members FROM i GROUP BY doc_id, page_number, island""")
 def cluster_1d(spark: SparkSession, sf: str) -> DataFrame:
     """Left edges of a page, near ones as one position."""
     return G.cluster_positions(words(spark, sf), Y.PAGE, "x0")

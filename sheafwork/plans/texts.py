@@ -58,7 +58,7 @@ def _typed_sql(source: str) -> str:
         CASE WHEN {cased(g(_MDY, 1))} THEN {S.date_of(g(_MDY, 3), S.month(g(_MDY, 1)), g(_MDY, 2))} END AS d3,
         CASE WHEN {a} > 12 AND {b} <= 12 THEN {S.date_of(g(_SL, 3), b, a)} END AS d4, CASE WHEN {b} > 12 AND {a} <= 12 THEN {S.date_of(g(_SL, 3), a, b)} END AS d5,
         CASE WHEN s = '' THEN 'blank'
-          WHEN regexp_matches(s, {S.lit(_PCT)}) AND NOT {zero(g(_PCT, 2))} AND {few} THEN 'percent'
+          WHEN regexp_matches(s, {S.lit(_PCT)}) AND NOT {zero(g(_PCT, 2))} AND {few} AND {nz(g(_PCT, 1), g(_PCT, 2))} THEN 'percent'
           WHEN regexp_matches(s, {S.lit(_PRE)}) AND NOT {zero(g(_PRE, 3))} AND {few} AND {nz(g(_PRE, 1), g(_PRE, 3))} THEN 'prefix'
           WHEN regexp_matches(s, {S.lit(_SUF)}) AND NOT {zero(g(_SUF, 2))} AND {few} AND {nz(g(_SUF, 1), g(_SUF, 2))} THEN 'suffix'
           WHEN regexp_matches(s, {S.lit(_PAR)}) AND NOT {zero(g(_PAR, 2))} AND {few} AND {val(g(_PAR, 2), 'false')} <> 0 THEN 'accounting'
