@@ -20,6 +20,7 @@ SYNONYMS = {
 }
 #: Fields by falling length of their longest wording; equal lengths keep list order.
 CLAIM_ORDER = tuple(sorted(SYNONYMS, key=lambda f: -max(map(len, SYNONYMS[f]))))
+_WORDS = "|".join(sorted({w for words in SYNONYMS.values() for s in words for w in re.findall("[a-z]+", s)}))
 # Beginnings of the labels that end the line items.
 TOTAL_MARKERS = ("total", "subtotal", "sub total", "grand total", "vat", "tax", "shipping", "delivery charge", "amount due", "balance", "net total", "total due")
 # Full-width and typographic punctuation and its ASCII form.
@@ -42,6 +43,11 @@ def specificity(label: Column, field: str) -> Column:
     return let(label, lambda label: F.when(label != "", F.coalesce(*[F.when((label == s) | label.rlike(rf"\b{re.escape(s)}\b"), F.lit(len(s))) for s in SYNONYMS[field]])))
 
 
+def may_be_heading(text: Column) -> Column:
+    """Whether a text holds any word of any wording; one cheap test that no heading fails."""
+    return text.rlike(rf"(?i)\b(?:{_WORDS})\b")
+
+
 def looks_like_heading(label: Column) -> Column:
     """Whether a normal heading equals a wording of any field."""
     return label.isin(*[s for words in SYNONYMS.values() for s in words])

@@ -20,17 +20,20 @@ def row_lines(cells: DataFrame) -> DataFrame:
     return full.groupBy("sheet", "row").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("line"))
 
 
-def composite_headings(cells: DataFrame) -> DataFrame:
+def composite_headings(cells: DataFrame, least: int = 0) -> DataFrame:
     """sheet, row, depth, col, text: the texts of one to MAX_DEPTH rows from `row` on, joined per column.
 
     Every cell is repeated for the windows it falls into, so no rows are joined with each other. Windows
-    that reach below the sheet are left out.
+    that reach below the sheet are left out, and with `least` those with fewer columns that may be headings.
+    Sheets are dealt once by their key; all later groupings by sheet find their rows together.
     """
     n_rows = F.max("row").over(Window.partitionBy("sheet")) + 1
-    full = cells.withColumn("n", n_rows).where(V.strip(F.col("text")) != "")
+    full = cells.repartition("sheet").withColumn("n", n_rows).where(V.strip(F.col("text")) != "").withColumn("may", L.may_be_heading(F.col("text")).cast("int"))
     windows = [F.struct((F.col("row") - back).alias("start"), F.lit(depth).alias("depth")) for depth in range(1, MAX_DEPTH + 1) for back in range(depth)]
-    spread = full.select("sheet", "row", "col", "text", "n", F.inline(F.array(*windows))).where("start >= 0 and start + depth <= n")
+    spread = full.select("sheet", "row", "col", "text", "may", "n", F.inline(F.array(*windows))).where("start >= 0 and start + depth <= n")
     ordered = F.array_sort(F.collect_list(F.struct("row", "text")))
+    if least:
+        spread = spread.withColumn("can", F.size(F.collect_set(F.when(F.col("may") == 1, F.col("col"))).over(Window.partitionBy("sheet", "start", "depth")))).where(F.col("can") >= least)
     return spread.groupBy("sheet", F.col("start").alias("row"), "depth", "col").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
 
 
@@ -64,7 +67,7 @@ def usable(mapping: Column) -> Column:
 
 def find_headers(cells: DataFrame) -> DataFrame:
     """sheet, row, depth, mapping, matched of the most credible heading: most fields, then fewest rows, then the upper one."""
-    scored = claim_columns(composite_headings(cells), ["sheet", "row", "depth"], MIN_FIELDS)
+    scored = claim_columns(composite_headings(cells, MIN_FIELDS), ["sheet", "row", "depth"], MIN_FIELDS)
     good = scored.where((F.col("columns") >= MIN_FIELDS) & (F.col("matched") >= MIN_FIELDS) & usable(F.col("mapping")))
     best = F.max_by(F.struct("row", "depth", "mapping", "matched"), F.struct("matched", -F.col("depth"), -F.col("row")))
     return good.groupBy("sheet").agg(best.alias("h")).select("sheet", "h.*")
@@ -73,7 +76,8 @@ def find_headers(cells: DataFrame) -> DataFrame:
 def locate_tables(cells: DataFrame) -> DataFrame:
     """Headers with `first_data_row`: the first row below the heading with a mapped column and not all heading words."""
     heads = find_headers(cells).withColumnRenamed("row", "header_row")
-    full = cells.where(V.strip(F.col("text")) != "").withColumn("word", L.looks_like_heading(L.heading(F.col("text"))))
+    word = F.when(L.may_be_heading(F.col("text")), L.looks_like_heading(L.heading(F.col("text")))).otherwise(False)
+    full = cells.where(V.strip(F.col("text")) != "").withColumn("word", word)
     rows = full.groupBy("sheet", "row").agg(F.collect_set("col").alias("cols"), F.min("word").alias("all_words"))
     below = heads.select("sheet", "header_row", "depth", "mapping").join(rows, "sheet").where((F.col("row") >= F.col("header_row") + F.col("depth")) & ~F.col("all_words"))
     first = below.where(F.arrays_overlap("cols", F.map_values("mapping"))).groupBy("sheet").agg(F.min("row").alias("first"))
