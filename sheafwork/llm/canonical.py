@@ -45,7 +45,7 @@ def likeness(value: str, entry: str) -> float:
             total = hit = 0.0
             for a, b in zip(order, ys):
                 s = similarity(a, b)
-                if s < 0.75 and abbreviates(a, b):
+                if s < 0.75 and (abbreviates(a, b) or (len(a) == 1 and b.startswith(a))):
                     s, hit = 0.9, 1.0
                 total += s * len(b)
             if hit:
