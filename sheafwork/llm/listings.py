@@ -3,9 +3,10 @@
 A listing is read into article number, kind, series and property values (wording, units, order and
 marketing words fall away). Rare spellings of series words are corrected towards frequent ones, an article
 number lends its values to listings that omit them, and equal listings of one seller collapse. Inside a block
-(series and kind) listings of equal values form classes; every seller's remaining listings are assigned
-to the classes by maximum-weight matching, one listing of the seller per class, and matches are merged in
-the order of their weight unless a cycle would join contradicting values.
+(series and kind) listings of equal values form classes; incomplete listings are scored against all
+compatible ones of other sellers, matched by maximum weight for each pair of sellers, and the matches are
+merged in the order of their weight unless a cycle would join contradicting values. What is left, of the
+same seller too, joins the only class it is compatible with.
 """
 
 from __future__ import annotations
@@ -251,41 +252,89 @@ def _assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, cols + 1) if match[j] and weight[match[j] - 1, j - 1] > 0]
 
 
-def _agree(part: dict[str, str], whole: dict[str, str]) -> float:
-    """Share of the properties of a class that a listing tells alike; 0 on any contradiction."""
-    if any(whole.get(k, v) != v for k, v in part.items()):
-        return 0.0
-    return sum(k in whole for k in part) / max(len(whole), 1)
+def _clash(a: tuple[dict[str, str], set[str]], b: tuple[dict[str, str], set[str]]) -> bool:
+    """Whether two forms (values, article numbers) tell a property or the article number differently."""
+    return any(b[0].get(k, v) != v for k, v in a[0].items()) or bool(a[1] and b[1] and not a[1] & b[1])
+
+
+def _score(a: tuple[dict[str, str], set[str]], b: tuple[dict[str, str], set[str]], need: int) -> float:
+    """Share of the properties of the kind that two forms tell alike; 0 on any contradiction."""
+    return 0.0 if _clash(a, b) else len(a[0].keys() & b[0].keys()) / need
+
+
+def _pairings(forms: dict[str, tuple[dict[str, str], set[str]]], sellers: dict[str, set[str]], short: set[str], need: int) -> dict[tuple[str, str], float]:
+    """Matches of different forms over all pairs of sellers, each by maximum weight within its connected components.
+
+    Forms that both sellers have are matched already. Sellers with the same forms give the same matches, so
+    each pair of offers is solved once, and only where one of the two has an incomplete form.
+    """
+    offers: dict[str, set[str]] = defaultdict(set)
+    for form, names in sellers.items():
+        for seller in names:
+            offers[seller].add(form)
+    kinds = sorted({tuple(sorted(o)) for o in offers.values()})
+    out: dict[tuple[str, str], float] = {}
+    for a in (o for o in kinds if short & set(o)):
+        for b in kinds:
+            if a == b or (short & set(b) and b < a):
+                continue
+            left, right = [f for f in a if f not in b], [f for f in b if f not in a]
+            edges = {(x, y): w for x in left for y in right if (x in short or y in short) and (w := _score(forms[x], forms[y], need)) > 0}
+            group: dict[str, str] = {f: f for f in left + right}
+            for x, y in edges:
+                old, now = group[y], group[x]
+                group.update({f: now for f, g in group.items() if g == old})
+            for g in sorted({group[x] for x, _ in edges}):
+                mine, theirs = [f for f in left if group[f] == g], [f for f in right if group[f] == g]
+                weight = np.array([[edges.get((x, y), 0.0) for y in theirs] for x in mine])
+                for i, j in _assignment(weight):
+                    out[min(mine[i], theirs[j]), max(mine[i], theirs[j])] = weight[i, j]
+    return out
 
 
 def _block(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Assign the incomplete listings of one block to its classes; node, article."""
-    split = lambda vs: dict(v.split("=", 1) for v in vs)
-    need = nodes["need"].iloc[0]
-    classes: dict[str, dict[str, str]] = {}
+    """Join the incomplete forms of one block to each other and to its classes; node_class, article.
+
+    Matches of seller pairs are merged in the order of their weight. A form with equally good partners that
+    contradict each other, of any seller, stays alone, and so does one that tells no property. What is left
+    joins a class if that is the only one it is compatible with.
+    """
+    need, short = int(nodes["need"].iloc[0]), set()
+    forms: dict[str, tuple[dict[str, str], set[str]]] = {}
     sellers: dict[str, set[str]] = defaultdict(set)
-    parts: dict[str, list[tuple[str, dict[str, str]]]] = defaultdict(list)
     for r in nodes.itertuples(index=False):
-        if len(r.values) >= need:
-            classes.setdefault(r.node_class, split(r.values))
-            sellers[r.node_class].add(r.seller)
-        else:
-            parts[r.seller].append((r.node_class, split(r.values)))
-    names, merges = sorted(classes), []
-    for seller in sorted(parts):
-        mine = sorted(parts[seller], key=lambda x: x[0])
-        free = [c for c in names if seller not in sellers[c]]
-        if not free:
-            continue
-        weight = np.array([[_agree(v, classes[c]) for c in free] for _, v in mine])
-        for i, j in _assignment(weight):
-            if (weight[i] >= weight[i, j]).sum() == 1:  # equally good classes leave a listing alone
-                merges.append((weight[i, j], mine[i][0], free[j], mine[i][1]))
-    home: dict[str, str] = {}
-    for _, part, whole, values in sorted(merges, key=lambda m: (-m[0], m[1], m[2])):
-        home.setdefault(part, whole)  # a later match of the same listing text that points elsewhere closes a contradicting cycle
-    rows = [(r.node_class, home.get(r.node_class, r.node_class)) for r in nodes.drop_duplicates("node_class").itertuples(index=False)]
-    return pd.DataFrame(rows, columns=["node_class", "article"])
+        forms.setdefault(r.node_class, (dict(v.split("=", 1) for v in r.values), set()))[1].update([r.number] if r.number else [])
+        sellers[r.node_class].add(r.seller)
+        if len(r.values) < need:
+            short.add(r.node_class)
+    torn = set()
+    for x in sorted(short):
+        scores = {y: _score(forms[x], forms[y], need) for y in forms if y != x}
+        top = max(scores.values(), default=0.0)
+        best = [y for y, w in scores.items() if top > 0 and w == top]
+        if any(_clash(forms[y], forms[z]) for i, y in enumerate(best) for z in best[:i]):
+            torn.add(x)
+    home = {f: f for f in forms}
+    joined = {f: (dict(v), set(n)) for f, (v, n) in forms.items()}
+
+    def merge(x: str, y: str) -> None:
+        a, b = home[x], home[y]
+        if a != b and not _clash(joined[a], joined[b]):
+            into, gone = sorted((a, b), key=lambda f: (f in short, f))
+            joined[into][0].update(joined[gone][0])
+            joined[into][1].update(joined.pop(gone)[1])
+            home.update({f: into for f, h in home.items() if h == gone})
+
+    matches = _pairings(forms, sellers, short, need)
+    for (x, y), _ in sorted(matches.items(), key=lambda m: (-m[1], m[0])):
+        if x not in torn and y not in torn:
+            merge(x, y)  # values that contradict what is merged so far close a contradicting cycle
+    alone = sorted(x for x in short - torn if home[x] == x and sum(h == x for h in home.values()) == 1)
+    fits = {x: [c for c in sorted(joined) if c != x and c not in torn and _score(forms[x], joined[c], need) > 0] for x in alone}
+    for x, classes in fits.items():
+        if len(classes) == 1:
+            merge(x, classes[0])
+    return pd.DataFrame([(f, home[f]) for f in forms], columns=["node_class", "article"])
 
 
 def match_listings(items: DataFrame, makers: DataFrame) -> DataFrame:
@@ -300,8 +349,8 @@ def match_listings(items: DataFrame, makers: DataFrame) -> DataFrame:
     short = F.size("values") < F.col("need")
     own = F.when(short & (F.col("number") != ""), F.col("number")).otherwise(F.lit(""))
     read = read.withColumn("node_class", F.concat_ws("|", "series", "kind", F.array_join("values", ","), own))
-    rows = written(read.select("item_id", F.coalesce("seller", F.lit("")).alias("seller"), "series", "kind", "values", "need", "node_class", short.alias("short")), "listings")
+    rows = written(read.select("item_id", F.coalesce("seller", F.lit("")).alias("seller"), "series", "kind", "values", "need", "number", "node_class", short.alias("short")), "listings")
     blocks = rows.where("short").select("series", "kind").distinct()
-    nodes = rows.join(blocks, ["series", "kind"], "left_semi").select("series", "kind", "seller", "values", "need", "node_class").distinct()
+    nodes = rows.join(blocks, ["series", "kind"], "left_semi").select("series", "kind", "seller", "values", "need", "number", "node_class").distinct()
     moved = nodes.groupBy("series", "kind").applyInPandas(_block, "node_class string, article string")
     return rows.join(moved, "node_class", "left").select("item_id", F.coalesce("article", "node_class").alias("article"))

@@ -131,6 +131,36 @@ def test_incomplete_listing_joins_its_only_class(spark):
     assert len({r.article for r in L.match_listings(df, spark.createDataFrame([], "name string")).collect()}) == 1
 
 
+def test_incomplete_listings_meet_without_a_class(spark):
+    rows = [
+        (1, "A", "Gowumam hose 3/4in 25 m", None), (2, "B", "Gowumam hose 25 m black", None),  # no complete listing in the block
+        (3, "C", "Zotuvel hose 3/4in 50 m noir", None), (4, "C", "Zotuvel hose 50 m black", None),  # one seller's incomplete line and its own article
+        (5, "A", "Rekozil hose 3/4in 10 m", None), (6, "B", "Rekozil hose 10 m black", None), (7, "C", "Rekozil hose 10 m rouge", None),  # 5 fits two that contradict
+        (8, "A", "Mibanor hose 3/4in 10 m red", None), (9, "B", "Mibanor hose 3/4in 20 m red", None), (10, "A", "Mibanor hose 3/4in red", None),  # the seller's own class counts against a guess
+    ]
+    df = spark.createDataFrame(rows, "item_id bigint, seller string, description string, ref string")
+    got = {r.item_id: r.article for r in L.match_listings(df, spark.createDataFrame([], "name string")).collect()}
+    assert got[1] == got[2] and got[3] == got[4]
+    assert len({got[5], got[6], got[7]}) == 3 and len({got[8], got[9], got[10]}) == 3
+
+
+def test_block_merges_nothing_contradicting():
+    rng = random.Random(8)
+    for _ in range(60):
+        rows, values = {}, {}
+        for _ in range(rng.randint(1, 9)):
+            said = sorted(f"{k}={rng.choice('xy')}" for k in "abc" if rng.random() < 0.7)
+            key = "|".join(said)
+            rows[key, rng.choice("PQR")] = said
+            values[key] = dict(v.split("=") for v in said)
+        nodes = L.pd.DataFrame([(s, v, 3, "", k) for (k, s), v in rows.items()], columns=["seller", "values", "need", "number", "node_class"])
+        got = dict(L._block(nodes).itertuples(index=False))
+        assert got.keys() == values.keys()
+        for x, y in itertools.combinations(values, 2):
+            if got[x] == got[y]:
+                assert all(values[y].get(k, v) == v for k, v in values[x].items())
+
+
 # ---- packing
 def test_best_fill_against_all_subsets():
     rng = random.Random(6)
