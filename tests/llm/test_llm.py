@@ -58,6 +58,15 @@ def test_link_names(spark):
     assert N.link_names(df.where("false")).count() == 0
 
 
+def test_link_names_without_a_complete_spelling(spark):
+    pairs = [("Acme Trading Ltd", "Acmee Trading Ltd"), ("Nelakanuth & Jujimurk Inc", "Nelakanut & Jujimurk Inc"), ("J. Zapavenolt", "J. Zapavenolb"), ("A B C Ltd", "a b c limited")]
+    apart = ["Wobigurn Marine Ltd", "Wobigurn Textiles Inc", "Wobigurn", "A B D Ltd", "A B C GmbH", "K. Zapavenolt", "?!", "Trading Ltd", "Marine Ltd", "Ltd"]  # Wobigurn fits two sister firms
+    df = spark.createDataFrame([(n,) for n in [*itertools.chain(*pairs), *apart, *["Wobigurn"] * 20]], "name string")
+    got = {r.name: r.cluster for r in N.link_names(df).collect()}
+    assert all(got[a] == got[b] for a, b in pairs)
+    assert len({got[a] for a, _ in pairs} | {got[n] for n in apart}) == len(pairs) + len(apart)
+
+
 def test_collision_curve(spark):
     words = sorted({"".join(random.Random(i).choices("abdefgiklmnoprstuvwz", k=9)) for i in range(400)})
     typed = {w[:4] + "x" + w[5:]: w for w in words}
