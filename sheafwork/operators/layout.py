@@ -1,4 +1,4 @@
-"""From words to lines, runs, separators and column boundaries."""
+"""From words to lines, runs and separators."""
 
 from __future__ import annotations
 
