@@ -18,11 +18,13 @@ from pyspark.sql.types import StringType
 from sheafwork.functions.text import INVISIBLE, LOOKALIKE
 
 #: A text of these characters only is in its consistent form; all others are examined.
-ORDINARY = r"^[\x09\x0A\x0D\x20-\x7E¡-¬®-ſ]*$"
+ORDINARY = r"^[\x09\x0A\x0D\x20-\x7E¡-¬®-ıĴ-ľŁ-ňŊ-ſ]*$"
 # Hyphens that print like the ordinary one (dashes differ visibly and stay).
 _HYPHENS = "‐‑﹣"
 # Characters taken for one another within one script, for skeletons only.
 _SAME_INK = {"I": "l", "1": "l", "|": "l", "0": "O", "’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
+# Latin letters written as one character, beside the ligatures of U+FB00 to U+FB06.
+_JOINED = "ĲĳĿŀŉǄǅǆǇǈǉǊǋǌǱǲǳ"
 _GONE = re.compile(INVISIBLE)
 _FOREIGN = re.compile(r"[Ͱ-ϿЀ-ԯἀ-῿]")
 _RUN = re.compile(r"[^\W_]+", re.UNICODE)
@@ -40,7 +42,7 @@ def _single() -> dict[int, str | None]:
         kind = unicodedata.decomposition(ch).split(" ", 1)[0]
         if unicodedata.category(ch) == "Zs":
             table[code] = " "
-        elif kind in ("<wide>", "<narrow>", "<font>") or 0xFB00 <= code <= 0xFB06:
+        elif kind in ("<wide>", "<narrow>", "<font>") or 0xFB00 <= code <= 0xFB06 or ch in _JOINED:
             table[code] = unicodedata.normalize("NFKC", ch)
     table.update({ord(h): "-" for h in _HYPHENS})
     return table

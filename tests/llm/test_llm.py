@@ -17,6 +17,13 @@ def test_clean(text, want):
     assert C.clean_text(text) == want and C.clean_text(want) == want
 
 
+def test_joined_latin_letters(spark):
+    texts = {"Ĳssel ĳs": "IJssel ijs", "coŀlegi": "col·legi", "ŉ": "ʼn", "ǅep": "Džep", "łódź ſ ı ĵ ň ŋ ľ": None}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.text: r.clean for r in C.inconsistent(df).collect()} == {t: c for t, c in texts.items() if c}
+    assert all(C.clean_text(c) == c for c in texts.values() if c)
+
+
 def test_inconsistent_and_groups(spark):
     rows = [(1, "Total", "k"), (2, "Tоtal", "k"), (3, "Tоtal", "k"), (4, None, "k"), (5, "", "k"), (6, "Référence", None)]
     df = spark.createDataFrame(rows, "i int, text string, clean string")
