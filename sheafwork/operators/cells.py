@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sheafwork.operators.geometry import area, band_index, shared_area
+from sheafwork.operators.geometry import area, band_index, binned_overlaps, shared_area
 
 EDGE_TOL, EDGE_COVER, FILL_COVER, ALIGN_TOL, MIN_IMAGE, BACKGROUND = 2.5, 0.70, 0.80, 3.0, 2.0, 0.85
 
@@ -49,10 +49,14 @@ def best_edges(cells: DataFrame, rulings: DataFrame, keys: list[str]) -> DataFra
 
 
 def best_fills(cells: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
-    """cell_id, fill: the smallest rectangle, not near white, that covers FILL_COVER of the cell, the first on ties."""
+    """cell_id, fill: the smallest rectangle, not near white, that covers FILL_COVER of the cell, the first on ties.
+
+    Cells and rectangles meet in bands of the height of a page, never as all pairs of a page.
+    """
     c = cells.where("bbox is not null").select(*keys, "cell_id", F.col("bbox.x0").alias("a0"), F.col("bbox.top").alias("a1"), F.col("bbox.x1").alias("a2"), F.col("bbox.bottom").alias("a3"))
     one, two = [F.col(f"a{i}") for i in range(4)], [F.col(f"r{i}") for i in range(4)]
-    pairs = c.join(rects, keys).where((area(*one) > 0) & (shared_area(one, two) >= area(*one) * FILL_COVER))
+    near = binned_overlaps(c, rects, keys, "a1", "a3", "r1", "r3", 50.0)
+    pairs = near.where((area(*one) > 0) & (shared_area(one, two) >= area(*one) * FILL_COVER))
     return pairs.groupBy("cell_id").agg(F.min_by("fill", F.struct(F.round(area(*two), 6), "rect_ord")).alias("fill"))
 
 

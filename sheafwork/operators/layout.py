@@ -71,32 +71,45 @@ def outlier_columns(lines: DataFrame, members: int = 3, tol: float = 10.0) -> Da
     return cluster_positions(outlier_gaps(lines), PAGE, "position", tol).where(F.col("members") >= members)
 
 
-def corridor_bins(lines: DataFrame) -> DataFrame:
-    """Free half-point bins of a page: keys, bin, straddling (lines with text on both sides and none in it), free (lines without text in it), voters.
+def corridor_spans(lines: DataFrame) -> DataFrame:
+    """Stretches of half-point bins of a page over which nothing changes: keys, first, last (bins from the left edge of the content), straddling, free, left, right (edges of the content).
 
-    Lines with at least two coarse runs vote. Text is counted per run, so the work is in runs, not pixels.
+    Lines of at least two coarse runs vote, on a page with at least two of them. A line straddles the bins
+    strictly between its first and its last one; a bin is free for it where no run of it lies. Both counts
+    are running sums over the ends of spans, so the work is in runs, never in bins.
     """
     coarse = lines.join(coarse_gaps(lines), [*PAGE, "line"])
+    page, line = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE, "line")
+    edges = lines.groupBy(*PAGE).agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
     runs = split_runs(coarse, F.col("coarse")).groupBy(*PAGE, "line", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    both = Window.partitionBy(*PAGE, "line")
-    runs = runs.withColumns({"n": F.count("*").over(both), "lo": F.min("x0").over(both), "hi": F.max("x1").over(both)}).where("n >= 2")
-    bin_of = lambda c: F.floor(F.col(c) / STEP)
-    page = Window.partitionBy(*PAGE)
-    spans = runs.select(*PAGE, "line", "lo", "hi").distinct().withColumns({"voters": F.count("*").over(page), "first": F.min(bin_of("lo")).over(page), "last": F.max(bin_of("hi")).over(page)})
-    taken = runs.select(*PAGE, "line", F.explode(F.sequence(bin_of("x0"), bin_of("x1"))).alias("bin")).distinct()
-    inside = spans.where("voters >= 2").select(*PAGE, "line", "voters", F.explode(F.sequence(bin_of("lo"), bin_of("hi"))).alias("bin"))
-    straddling = inside.join(taken, [*PAGE, "line", "bin"], "left_anti").groupBy(*PAGE, "bin").agg(F.count("*").alias("straddling"), F.max("voters").alias("voters"))
-    busy = taken.groupBy(*PAGE, "bin").agg(F.count("*").alias("busy"))
-    out = straddling.join(busy, [*PAGE, "bin"], "left")
-    return out.select(*PAGE, "bin", "straddling", (F.col("voters") - F.coalesce("busy", F.lit(0))).alias("free"), "voters")
+    bin_of = lambda c: F.floor((F.col(c) - F.col("left")) / STEP)
+    runs = runs.join(edges, PAGE).select(*PAGE, "line", "run", "left", "right", bin_of("x0").alias("s"), bin_of("x1").alias("e"))
+    runs = runs.withColumns({"n": F.count("*").over(line), "lo": F.min("s").over(line), "hi": F.max("e").over(line)}).where("n >= 2")
+    runs = runs.withColumn("first", F.row_number().over(line.orderBy("s", "run")) == 1)
+    runs = runs.withColumn("voters", F.sum(F.col("first").cast("int")).over(page)).where("voters >= 2")
+    before = F.max("e").over(line.orderBy("s", "run").rowsBetween(Window.unboundedPreceding, -1))  # runs of a line may overlap
+    runs = runs.withColumns({"a": F.greatest(F.col("s"), F.col("lo") + 1, F.coalesce(before + 1, F.col("s"))), "b": F.least(F.col("e"), F.col("hi") - 1)})
+    change = lambda at, straddling, busy: F.struct(at.alias("bin"), F.lit(straddling).alias("ds"), F.lit(busy).alias("db"))
+    none = F.array().cast("array<struct<bin:bigint,ds:int,db:int>>")
+    spans = F.when(F.col("first") & (F.col("hi") - F.col("lo") >= 2), F.array(change(F.col("lo") + 1, 1, 0), change(F.col("hi"), -1, 0))).otherwise(none)
+    taken = F.when(F.col("a") <= F.col("b"), F.array(change(F.col("a"), 0, 1), change(F.col("b") + 1, 0, -1))).otherwise(none)
+    events = runs.select(*PAGE, "left", "right", F.inline(F.concat(spans, taken))).groupBy(*PAGE, "bin").agg(F.sum("ds").alias("ds"), F.sum("db").alias("db"), F.first("left").alias("left"), F.first("right").alias("right"))
+    along = page.orderBy("bin")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = events.select(*PAGE, F.col("bin").alias("first"), (F.lead("bin").over(along) - 1).alias("last"), F.sum("ds").over(upto).alias("straddling"), F.sum("db").over(upto).alias("busy"), "left", "right")
+    return summed.where("straddling > 0").select(*PAGE, "first", "last", "straddling", (F.col("straddling") - F.col("busy")).alias("free"), "left", "right")
 
 
 def corridors(lines: DataFrame, witnesses: int = WITNESSES, share: float = CLEAR_SHARE) -> DataFrame:
-    """Separators between columns: middle of runs of bins that `witnesses` lines straddle and `share` of the voters leave free, at least CORRIDOR wide."""
-    good = corridor_bins(lines).where((F.col("straddling") >= witnesses) & (F.col("free") >= F.col("voters") * share))
-    runs = islands(good, PAGE, "bin", 1).groupBy(*PAGE, "island").agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
-    wide = runs.where((F.col("b") - F.col("a") + 1) * STEP >= CORRIDOR)
-    return wide.select(*PAGE, ((F.col("a") + F.col("b") + 1) * STEP / 2).alias("separator"))
+    """Separators between columns: middle of bins that at least `witnesses` lines straddle and `share` of those leave free, at least CORRIDOR wide, off the edges of the content."""
+    good = corridor_spans(lines).where((F.col("straddling") >= witnesses) & (F.col("free") >= F.col("straddling") * share))
+    along = Window.partitionBy(*PAGE).orderBy("first")
+    fresh = F.when(F.col("first") == F.lag("last").over(along) + 1, 0).otherwise(1)
+    runs = good.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    wide = runs.groupBy(*PAGE, "island").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.first("left").alias("left"), F.first("right").alias("right"))
+    ends = wide.select(*PAGE, (F.col("left") + F.col("a") * STEP).alias("s"), (F.col("left") + (F.col("b") + 1) * STEP).alias("e"), "left", "right")
+    inner = ends.where((F.col("e") - F.col("s") >= CORRIDOR) & (F.col("s") > F.col("left") + STEP) & (F.col("e") < F.col("right") - STEP))
+    return inner.select(*PAGE, ((F.col("s") + F.col("e")) / 2).alias("separator"))
 
 
 def dominant_words(lines: DataFrame) -> DataFrame:

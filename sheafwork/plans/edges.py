@@ -19,7 +19,7 @@ QUERIES, ORACLE, query = plans.queries, plans.oracle, plans.query
 
 def book_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cells as the workbook sink takes them, one cell a slot."""
-    placed = cells(spark, sf).where("text is not null").groupBy(*PAGE, "row_idx", "col_idx").agg(F.min_by(F.struct("text", "row_span", "col_span"), F.struct("ord", "cell_id")).alias("c"))
+    placed = cells(spark, sf, *PAGE, "row_idx", "col_idx", "row_span", "col_span", "ord", "text").where("text is not null").groupBy(*PAGE, "row_idx", "col_idx").agg(F.min_by(F.struct("text", "row_span", "col_span"), F.struct("ord", "cell_id")).alias("c"))
     title = L.sheet_title(F.concat(F.lit("Page "), "page_number"))
     return placed.select("doc_id", "page_number", title.alias("title"), F.col("row_idx").alias("row"), F.col("col_idx").alias("col"), "c.text", "c.row_span", "c.col_span")
 
@@ -63,7 +63,7 @@ def raster_rulings(spark: SparkSession, sf: str) -> DataFrame:
 @query("reader_echo", "SELECT count(*) AS cells, count(*) AS agree FROM (SELECT DISTINCT cell_id FROM grid_cells WHERE text IS NOT NULL)")
 def reader_echo(spark: SparkSession, sf: str) -> DataFrame:
     """Cells a faithful reader agrees with."""
-    every = cells(spark, sf).where("text is not null").select("cell_id", "text")
+    every = cells(spark, sf, "text").where("text is not null").select("cell_id", "text")
     both = every.join(readers.read_cells(every, "echo"), "cell_id")
     return both.agg(F.count("*").alias("cells"), F.count_if(F.col("text") == F.col("reading")).alias("agree"))
 

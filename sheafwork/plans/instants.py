@@ -12,8 +12,9 @@ def stamped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts that say when: quote_date of headers and stamp cells (each cell once), with zone and day order of their quote."""
     headers = table(spark, sf_dir, "quote_headers").select("doc_id", "quote_date", "issuer_zone", "day_first")
     own = headers.select(F.lit("header").alias("src"), F.col("doc_id").alias("row_id"), F.col("quote_date").alias("text"), "issuer_zone", "day_first")
-    cells = table(spark, sf_dir, "grid_cells").where("cell_role = 'stamp' and text is not null").select("cell_id", "doc_id", "text", "loaded_at")
-    once = latest(cells, "cell_id").join(headers.drop("quote_date"), "doc_id", "left")
+    cells = table(spark, sf_dir, "grid_cells").select("cell_id", "doc_id", "cell_role", "text", "loaded_at")
+    last = latest(cells, "cell_id").where("cell_role = 'stamp' and text is not null")  # after the last delivery is chosen, which may have changed them
+    once = last.join(headers.drop("quote_date"), "doc_id", "left")
     return own.where("text is not null").unionByName(once.select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), "text", "issuer_zone", "day_first"))
 
 

@@ -57,35 +57,43 @@ def gap_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return Y.outlier_gaps(lines(spark, sf))
 
 
-@query("outlier_bounds", f"""WITH {_L}, {_OUT}, i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_number ORDER BY position, line, gap ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN position - lag(position) OVER (PARTITION BY doc_id, page_number ORDER BY position, line, gap) <= 10 THEN 0 ELSE 1 END AS n FROM o))
-    SELECT doc_id, page_number, round(avg(position), 9) AS position, count(*) AS members FROM i GROUP BY doc_id, page_number, island HAVING count(*) >= 2""")
-def outlier_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Column boundaries where outlier gaps of two or more lines meet."""
-    return Y.outlier_columns(lines(spark, sf), members=2)
-
-
 _BINS = f"""{_COARSE}, r0 AS (SELECT g.*, sum(CASE WHEN gap > coarse THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_number, line ORDER BY x0, ord ROWS UNBOUNDED PRECEDING) AS run FROM g JOIN k USING (doc_id, page_number, line)),
-    r1 AS (SELECT doc_id, page_number, line, run, min(x0) AS x0, max(x1) AS x1 FROM r0 GROUP BY ALL),
-    r AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, min(x0) OVER w AS lo, max(x1) OVER w AS hi FROM r1 WINDOW w AS (PARTITION BY doc_id, page_number, line)) WHERE n >= 2),
+    ct AS (SELECT doc_id, page_number, min(x0) AS lft, max(x1) AS rgt FROM l GROUP BY ALL),
+    r1 AS (SELECT doc_id, page_number, line, run, CAST(floor((min(x0) - any_value(lft)) / 0.5) AS BIGINT) AS s, CAST(floor((max(x1) - any_value(lft)) / 0.5) AS BIGINT) AS e FROM r0 JOIN ct USING (doc_id, page_number) GROUP BY doc_id, page_number, line, run),
+    r AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, min(s) OVER w AS lo, max(e) OVER w AS hi FROM r1 WINDOW w AS (PARTITION BY doc_id, page_number, line)) WHERE n >= 2),
     sp AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_number) AS voters FROM (SELECT DISTINCT doc_id, page_number, line, lo, hi FROM r)),
-    tk AS (SELECT DISTINCT doc_id, page_number, line, unnest(range(CAST(floor(x0 / 0.5) AS BIGINT), CAST(floor(x1 / 0.5) AS BIGINT) + 1)) AS bin FROM r),
-    ins AS (SELECT doc_id, page_number, line, voters, unnest(range(CAST(floor(lo / 0.5) AS BIGINT), CAST(floor(hi / 0.5) AS BIGINT) + 1)) AS bin FROM sp WHERE voters >= 2),
-    st AS (SELECT doc_id, page_number, bin, count(*) AS straddling, max(voters) AS voters FROM ins ANTI JOIN tk USING (doc_id, page_number, line, bin) GROUP BY ALL),
-    bs AS (SELECT doc_id, page_number, bin, count(*) AS busy FROM tk GROUP BY ALL),
-    bins AS (SELECT st.doc_id, st.page_number, st.bin, straddling, voters - coalesce(busy, 0) AS free, voters FROM st LEFT JOIN bs USING (doc_id, page_number, bin))"""
+    tk AS (SELECT DISTINCT doc_id, page_number, line, unnest(range(s, e + 1)) AS bin FROM r),
+    ins AS (SELECT doc_id, page_number, line, unnest(range(lo + 1, hi)) AS bin FROM sp WHERE voters >= 2),
+    bins AS (SELECT i.doc_id, i.page_number, i.bin, count(*) AS straddling, count(*) FILTER (t.bin IS NULL) AS free FROM ins i LEFT JOIN tk t USING (doc_id, page_number, line, bin) GROUP BY ALL)"""
 
 
 @query("corridor_hist", f"WITH {_L}, {_BINS} SELECT * FROM bins")
 def corridor_hist(spark: SparkSession, sf: str) -> DataFrame:
-    """Half-point bins that lines with several runs leave free."""
-    return Y.corridor_bins(lines(spark, sf))
+    """Half-point bins that lines with several runs straddle, and how many of them leave it free."""
+    return Y.corridor_spans(lines(spark, sf)).select(*Y.PAGE, F.explode(F.sequence("first", "last")).alias("bin"), "straddling", "free")
+
+
+def tall(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of twelve pages, one below another, as one page, so that enough lines bear witness to a corridor."""
+    return lines(spark, sf).withColumns({"line": F.col("line") * 12 + F.col("doc_id") % 12, "doc_id": F.floor(F.col("doc_id") / 12)})
 
 
-@query("corridor_seps", f"""WITH {_L}, {_BINS}, ok AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page_number ORDER BY bin) AS grp FROM bins WHERE straddling >= 2 AND free >= voters * 0.5)
-    SELECT doc_id, page_number, (min(bin) + max(bin) + 1) * 0.5 / 2 AS separator FROM ok GROUP BY doc_id, page_number, grp HAVING (max(bin) - min(bin) + 1) * 0.5 >= 5.0""")
+_TALL = _L.replace("FROM l0 WHERE b > a", "FROM (SELECT * REPLACE (line * 12 + doc_id % 12 AS line, doc_id // 12 AS doc_id) FROM l0) WHERE b > a")
+
+
+@query("corridor_seps", f"""WITH {_TALL}, {_BINS}, ok AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page_number ORDER BY bin) AS grp FROM bins WHERE straddling >= 3 AND free >= straddling * 0.85),
+    c AS (SELECT doc_id, page_number, lft + min(bin) * 0.5 AS s, lft + (max(bin) + 1) * 0.5 AS e, lft, rgt FROM ok JOIN ct USING (doc_id, page_number) GROUP BY doc_id, page_number, grp, lft, rgt)
+    SELECT doc_id, page_number, (s + e) / 2 AS separator FROM c WHERE e - s >= 5.0 AND s > lft + 0.5 AND e < rgt - 0.5""")
 def corridor_seps(spark: SparkSession, sf: str) -> DataFrame:
-    """Separators in the middle of free corridors."""
-    return Y.corridors(lines(spark, sf), witnesses=2, share=0.5)
+    """Separators in the middle of free corridors of pages made of twelve."""
+    return Y.corridors(tall(spark, sf))
+
+
+@query("outlier_bounds", f"""WITH {_TALL}, {_OUT}, i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_number ORDER BY position, line, gap ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN position - lag(position) OVER (PARTITION BY doc_id, page_number ORDER BY position, line, gap) <= 10 THEN 0 ELSE 1 END AS n FROM o))
+    SELECT doc_id, page_number, round(avg(position), 9) AS position, count(*) AS members FROM i GROUP BY doc_id, page_number, island HAVING count(*) >= 3""")
+def outlier_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Column boundaries where outlier gaps of three or more lines of a page made of twelve meet."""
+    return Y.outlier_columns(tall(spark, sf))
 
 
 @query("cluster_1d", """
@@ -232,7 +240,7 @@ def overlap_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("det_split", f"""
-    WITH v AS (SELECT doc_id, page_number, position FROM ({_RULES}) WHERE orientation = 'v'), w AS (SELECT word_id, w.doc_id, w.page_number, text, x0 - 60 AS x0, x1 + 60 AS x1 FROM words w WHERE length(text) > 3),
+    WITH v AS (SELECT doc_id, page_number, position FROM ({_RULES}) WHERE orientation = 'v'), w AS (SELECT word_id, w.doc_id, w.page_number, text, x0 - 60 AS x0, x1 + 60 AS x1 FROM words w),
     c AS (SELECT word_id, list_sort(list(DISTINCT position)) AS cuts FROM w JOIN v ON w.doc_id = v.doc_id AND w.page_number = v.page_number AND v.position > w.x0 + 2 AND v.position < w.x1 - 2 GROUP BY word_id),
     e AS (SELECT word_id, text, x0, x1, list_concat(list_concat([x0], coalesce(cuts, [])), [x1]) AS edges FROM w LEFT JOIN c USING (word_id)),
     p AS (SELECT word_id, text, x0, x1, i, edges[i] AS a, edges[i + 1] AS b FROM (SELECT *, unnest(range(1, len(edges))) AS i FROM e)),
@@ -241,8 +249,10 @@ def overlap_bands(spark: SparkSession, sf: str) -> DataFrame:
 def det_split(spark: SparkSession, sf: str) -> DataFrame:
     """Words widened by 60 points and split at the vertical rulings that cross them, the text in proportion."""
     upright = rules(spark, sf).where("orientation = 'v'").select(*Y.PAGE, "position")
-    wide = words(spark, sf).where("length(text) > 3").select("word_id", *Y.PAGE, "text", (F.col("x0") - 60).alias("x0"), (F.col("x1") + 60).alias("x1"))
-    cut = wide.join(upright, Y.PAGE).where("position > x0 + 2 and position < x1 - 2").groupBy("word_id").agg(F.sort_array(F.collect_set("position")).alias("cuts"))
+    wide = words(spark, sf).select("word_id", *Y.PAGE, "text", (F.col("x0") - 60).alias("x0"), (F.col("x1") + 60).alias("x1"))
+    inside = wide.withColumns({"a": F.col("x0") + 2, "b": F.col("x1") - 2})
+    crossed = G.binned_overlaps(inside, upright.withColumn("at", F.col("position")), Y.PAGE, "a", "b", "position", "at", 100.0)
+    cut = crossed.where("position > a and position < b").groupBy("word_id").agg(F.sort_array(F.collect_set("position")).alias("cuts"))
     edges = F.concat(F.array("x0"), F.coalesce("cuts", F.array().cast("array<double>")), F.array("x1"))
     pieces = wide.join(cut, "word_id", "left").withColumn("edges", edges).select("word_id", "text", "x0", "x1", "edges", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("piece"))
     at = lambda i: F.rint(F.length("text") * ((F.get("edges", i) - F.col("x0")) / (F.col("x1") - F.col("x0")))).cast("int")

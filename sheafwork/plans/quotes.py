@@ -8,7 +8,7 @@ from sheafwork.functions import labels as L
 from sheafwork.operators import quotes as Q
 from sheafwork.plans import sqltext as S
 from sheafwork.plans.registry import Plans
-from sheafwork.sources.tables import table
+from sheafwork.sources.tables import latest, table
 
 plans = Plans()
 QUERIES, ORACLE, query = plans.queries, plans.oracle, plans.query
@@ -19,7 +19,7 @@ HEADS = [
     [(4, ["Item Code", "Details", "Quantity", "Rate (USD)", "Amount"])],
     [(4, ["Ref / Code", "Goods Description", "No. of Units", "LIST", "TOTAL"]), (5, ["", "", "", "PRICE USD", "PRICE USD"])],
 ]
-_ITEMS = "SELECT doc_id, item_id, max(ref) AS ref, max(description) AS description, max(qty) AS qty, max(unit_price) AS unit_price, max(total) AS total FROM line_items GROUP BY doc_id, item_id"
+_ITEMS = "SELECT item_id, r.doc_id, r.ref, r.description, r.qty, r.unit_price, r.total FROM (SELECT item_id, arg_max(struct_pack(doc_id := doc_id, ref := ref, description := description, qty := qty, unit_price := unit_price, total := total), loaded_at) AS r FROM line_items GROUP BY item_id)"
 _HEAD_SQL = " UNION ALL ".join(f"SELECT doc_id AS sheet, {row} AS row, {c} AS col, {S.lit(t)} AS text FROM d WHERE doc_id % 3 = {k}" for k, rows in enumerate(HEADS) for row, ts in rows for c, t in enumerate(ts) if t)
 SHEETS = f"""d AS (SELECT doc_id FROM quote_headers), it AS ({_ITEMS}), n AS (SELECT *, 5 + row_number() OVER (PARTITION BY doc_id ORDER BY item_id) AS row FROM it WHERE doc_id IN (SELECT doc_id FROM d)),
     cells AS (SELECT doc_id AS sheet, 0 AS row, 0 AS col, supplier AS text FROM quote_headers WHERE supplier IS NOT NULL
@@ -34,7 +34,8 @@ SHEETS = f"""d AS (SELECT doc_id FROM quote_headers), it AS ({_ITEMS}), n AS (SE
 def sheets(spark: SparkSession, sf: str) -> DataFrame:
     """Cells (sheet, row, col, text) of one made sheet per quote."""
     heads = table(spark, sf, "quote_headers").select("doc_id", "supplier", "quote_date", "reference", "currency")
-    once = table(spark, sf, "line_items").groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("ref", "description", "qty", "unit_price", "total")])
+    read = ("doc_id", "ref", "description", "qty", "unit_price", "total")
+    once = latest(table(spark, sf, "line_items").select("item_id", *read, "loaded_at"), "item_id", "loaded_at", *read)
     items = once.join(heads.select("doc_id"), "doc_id", "left_semi").withColumn("row", (F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id")) + 5).cast("int"))
     cell = lambda row, col, text: F.struct(F.lit(row).cast("int").alias("row") if isinstance(row, int) else row.alias("row"), F.lit(col).alias("col"), text.alias("text"))
     two = lambda c: F.col(c).cast("decimal(18,2)")
@@ -89,16 +90,16 @@ def page_lines(spark: SparkSession, sf: str) -> DataFrame:
     return Q.row_lines(sheets(spark, sf))
 
 
-@query("hdr_composite", f"WITH {SHEETS}, {_COMP} SELECT sheet, row, depth, CAST(col AS INTEGER) AS col, text FROM comp WHERE row BETWEEN 2 AND 6")
+@query("hdr_composite", f"WITH {SHEETS}, {_COMP} SELECT sheet, row, depth, CAST(col AS INTEGER) AS col, text FROM comp")
 def hdr_composite(spark: SparkSession, sf: str) -> DataFrame:
-    """Column texts of one to three stacked rows around the heading."""
-    return Q.composite_headings(sheets(spark, sf).where("row < 10")).where("row between 2 and 6")
+    """Column texts of every one to three stacked rows."""
+    return Q.composite_headings(sheets(spark, sf))
 
 
-@query("hdr_score", f"WITH {SHEETS}, {_COMP}, {_SPEC}{_MAP} SELECT w.sheet, w.row, w.depth, CAST(c.matched AS INTEGER) AS matched, c.usable FROM cand c JOIN wide w USING (k) WHERE w.row BETWEEN 2 AND 6")
+@query("hdr_score", f"WITH {SHEETS}, {_COMP}, {_SPEC}{_MAP} SELECT w.sheet, w.row, w.depth, CAST(c.matched AS INTEGER) AS matched, c.usable FROM cand c JOIN wide w USING (k)")
 def hdr_score(spark: SparkSession, sf: str) -> DataFrame:
     """How many fields each possible heading places, and whether the mapping is usable."""
-    scored = Q.claim_columns(Q.composite_headings(sheets(spark, sf)).where("row between 2 and 6"), ["sheet", "row", "depth"]).where("matched > 0")
+    scored = Q.claim_columns(Q.composite_headings(sheets(spark, sf)), ["sheet", "row", "depth"]).where("matched > 0")
     return scored.select("sheet", "row", "depth", "matched", Q.usable(F.col("mapping")).alias("usable"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sheafwork.functions import labels as L, values as V
 from sheafwork.plans import sqltext as S
 from sheafwork.plans.registry import Plans
-from sheafwork.sources.tables import table
+from sheafwork.sources.tables import latest, table
 
 plans = Plans()
 QUERIES, ORACLE, query = plans.queries, plans.oracle, plans.query
@@ -25,10 +25,11 @@ def num_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("num_derive_total", """
     SELECT item_id, CAST(CASE WHEN total <> 0 THEN total ELSE coalesce(CAST(CAST(qty AS DECIMAL(18,4)) * CAST(CASE WHEN discounted_price <> 0 THEN discounted_price ELSE unit_price END AS DECIMAL(18,4)) AS DECIMAL(37,8)), CAST(NULL AS DECIMAL(37,8))) END AS DECIMAL(37,8)) AS total
-    FROM (SELECT item_id, max(qty) AS qty, max(unit_price) AS unit_price, max(discounted_price) AS discounted_price, max(total) AS total FROM line_items GROUP BY item_id)""")
+    FROM (SELECT item_id, unnest(arg_max(struct_pack(qty := qty, unit_price := unit_price, discounted_price := discounted_price, total := total), loaded_at)) FROM line_items GROUP BY item_id)""")
 def num_derive_total(spark: SparkSession, sf: str) -> DataFrame:
     """A missing or zero total as quantity times the discounted, else the unit price (zero counts as missing in both)."""
-    once = table(spark, sf, "line_items").groupBy("item_id").agg(*[F.max(c).alias(c) for c in ("qty", "unit_price", "discounted_price", "total")])
+    read = ("qty", "unit_price", "discounted_price", "total")
+    once = latest(table(spark, sf, "line_items").select("item_id", *read, "loaded_at"), "item_id", "loaded_at", *read)
     price = F.when(F.col("discounted_price") != 0, F.col("discounted_price")).otherwise(F.col("unit_price"))
     total = F.when(F.col("total") != 0, F.col("total").cast("decimal(37,8)")).otherwise((F.col("qty") * price).cast("decimal(37,8)"))
     return once.select("item_id", total.alias("total"))

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; set a folder of our own only if unset."""
+    """Use the shared folder named in spark.checkpoint.dir; in local mode, where it may be unset, a folder of our own. On a cluster an unset folder is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sheafwork-"))
 
 
