@@ -73,27 +73,28 @@ def corridor_hist(spark: SparkSession, sf: str) -> DataFrame:
     return Y.corridor_spans(lines(spark, sf)).select(*Y.PAGE, F.explode(F.sequence("first", "last")).alias("bin"), "straddling", "free")
 
 
-def tall(spark: SparkSession, sf: str) -> DataFrame:
-    """The lines of twelve pages, one below another, as one page, so that enough lines bear witness to a corridor."""
-    return lines(spark, sf).withColumns({"line": F.col("line") * 12 + F.col("doc_id") % 12, "doc_id": F.floor(F.col("doc_id") / 12)})
+def tall(spark: SparkSession, sf: str, pages: int) -> DataFrame:
+    """The lines of several pages, one below another, as one page, so that enough lines bear witness to a column."""
+    return lines(spark, sf).withColumns({"line": F.col("line") * pages + F.col("doc_id") % pages, "doc_id": F.floor(F.col("doc_id") / pages)})
 
 
-_TALL = _L.replace("FROM l0 WHERE b > a", "FROM (SELECT * REPLACE (line * 12 + doc_id % 12 AS line, doc_id // 12 AS doc_id) FROM l0) WHERE b > a")
+def _tall(pages: int) -> str:
+    return _L.replace("FROM l0 WHERE b > a", f"FROM (SELECT * REPLACE (line * {pages} + doc_id % {pages} AS line, doc_id // {pages} AS doc_id) FROM l0) WHERE b > a")
 
 
-@query("corridor_seps", f"""WITH {_TALL}, {_BINS}, ok AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page_number ORDER BY bin) AS grp FROM bins WHERE straddling >= 3 AND free >= straddling * 0.85),
+@query("corridor_seps", f"""WITH {_tall(3)}, {_BINS}, ok AS (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page_number ORDER BY bin) AS grp FROM bins WHERE straddling >= 3 AND free >= straddling * 0.85),
     c AS (SELECT doc_id, page_number, lft + min(bin) * 0.5 AS s, lft + (max(bin) + 1) * 0.5 AS e, lft, rgt FROM ok JOIN ct USING (doc_id, page_number) GROUP BY doc_id, page_number, grp, lft, rgt)
     SELECT doc_id, page_number, (s + e) / 2 AS separator FROM c WHERE e - s >= 5.0 AND s > lft + 0.5 AND e < rgt - 0.5""")
 def corridor_seps(spark: SparkSession, sf: str) -> DataFrame:
-    """Separators in the middle of free corridors of pages made of twelve."""
-    return Y.corridors(tall(spark, sf))
+    """Separators in the middle of free corridors of pages made of three."""
+    return Y.corridors(tall(spark, sf, 3))
 
 
-@query("outlier_bounds", f"""WITH {_TALL}, {_OUT}, i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_number ORDER BY position, line, gap ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN position - lag(position) OVER (PARTITION BY doc_id, page_number ORDER BY position, line, gap) <= 10 THEN 0 ELSE 1 END AS n FROM o))
+@query("outlier_bounds", f"""WITH {_tall(12)}, {_OUT}, i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_number ORDER BY position, line, gap ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN position - lag(position) OVER (PARTITION BY doc_id, page_number ORDER BY position, line, gap) <= 10 THEN 0 ELSE 1 END AS n FROM o))
     SELECT doc_id, page_number, round(avg(position), 9) AS position, count(*) AS members FROM i GROUP BY doc_id, page_number, island HAVING count(*) >= 3""")
 def outlier_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Column boundaries where outlier gaps of three or more lines of a page made of twelve meet."""
-    return Y.outlier_columns(tall(spark, sf))
+    return Y.outlier_columns(tall(spark, sf, 12))
 
 
 @query("cluster_1d", """
