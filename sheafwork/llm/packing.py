@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 SHARD = 20_000  #: documents packed together
+MAX_PACKS = 1000  #: bound of the table of capacities read to the driver
 
 
 def best_fill(room: int, counts: dict[int, int]) -> dict[int, int]:
@@ -81,12 +82,15 @@ def pack(sizes: DataFrame, packs: DataFrame, shard: int = SHARD) -> DataFrame:
 
     `sizes` has doc_id (unique) and tokens, `packs` pack_name and capacity_tokens. Documents of 0 tokens go
     nowhere; one that exceeds the capacity fills containers of its own and its rest is packed as an item.
-    Capacities below 1 give nothing. An empty frame gives an empty result.
+    Capacities below 1 give nothing. An empty frame gives an empty result. Raises if there are more than MAX_PACKS packs.
     """
     full = sizes.where("tokens > 0")
     shards = max(1, -(-full.count() // shard))
-    each = packs.where("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").alias("capacity"))
-    dealt = full.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")).crossJoin(F.broadcast(each.limit(1000)))
+    rooms = packs.where("capacity_tokens > 0").select("pack_name", "capacity_tokens").limit(MAX_PACKS + 1).collect()
+    if len(rooms) > MAX_PACKS:
+        raise ValueError(f"more than {MAX_PACKS} packs")
+    each = F.array(*[F.struct(F.lit(r.pack_name).alias("pack_name"), F.lit(r.capacity_tokens).cast("int").alias("capacity")) for r in rooms]) if rooms else F.array().cast("array<struct<pack_name:string,capacity:int>>")
+    dealt = full.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.inline(each))
     return dealt.groupBy("pack_name", "shard").applyInPandas(_pack_shard, "pack_name string, shard bigint, container bigint, doc_id bigint, piece int, tokens bigint")
 
 

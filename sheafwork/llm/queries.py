@@ -18,10 +18,7 @@ def _written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and cells (each once) that differ from their consistent form, with that form."""
-    words = table(spark, sf_dir, "words").select(F.lit("word").alias("src"), F.col("word_id").alias("row_id"), "text")
-    cells = table(spark, sf_dir, "grid_cells").select("cell_id", "text", "loaded_at").where(~confusables.is_ordinary(F.col("text")))
-    once = latest(cells, "cell_id").select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), "text")
-    return confusables.inconsistent(words.unionByName(once)).select("src", "row_id", "clean")
+    return confusables.inconsistent(_written_texts(spark, sf_dir)).select("src", "row_id", "clean")
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +45,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place, maker and job-title cell (each once) and every heading with the entry it means, or -1."""
-    cells = table(spark, sf_dir, "grid_cells").where("cell_role in ('place', 'maker', 'job_title') and text is not null").select("cell_id", "cell_role", "text", "loaded_at")
-    once = latest(cells, "cell_id").select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), F.lit(0).alias("pos"), F.col("cell_role").alias("list_name"), "text")
+    cells = latest(table(spark, sf_dir, "grid_cells").select("cell_id", "cell_role", "text", "loaded_at"), "cell_id")
+    once = cells.where("cell_role in ('place', 'maker', 'job_title') and text is not null").select(F.lit("cell").alias("src"), F.col("cell_id").alias("row_id"), F.lit(0).alias("pos"), F.col("cell_role").alias("list_name"), "text")
     heads = table(spark, sf_dir, "table_locations").select(F.col("loc_id").alias("row_id"), F.posexplode("column_heads").alias("pos", "text")).where("text is not null")
     values = once.unionByName(heads.select(F.lit("location").alias("src"), "row_id", "pos", F.lit("template_field").alias("list_name"), "text"))
     return canonical.map_values(values, table(spark, sf_dir, "ref_entries")).select("src", "row_id", "pos", "entry_id")
