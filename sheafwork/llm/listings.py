@@ -1,28 +1,33 @@
 """Listings of one article from different sellers: seller-constrained assignment.
 
-A listing is read into article number, kind, series and property values (wording, units, order and
-marketing words fall away). Rare spellings of series words are corrected towards frequent ones, an article
-number lends its values to listings that omit them, and equal listings of one seller collapse. Inside a block
-(series and kind) listings of equal values form classes; incomplete listings are scored against all
-compatible ones of other sellers, matched by maximum weight for each pair of sellers, and the matches are
-merged in the order of their weight unless a cycle would join contradicting values. What is left, of the
-same seller too, joins the only class it is compatible with.
+1. A listing is read into properties: kind, quantities in common units, colours and the like by meaning, its article
+   number, and the words that may name the series. Wording, order and marketing words fall away. Rare spellings of
+   series words are corrected towards frequent ones.
+2. Listings are blocked by their series word, and by their article number. Listings of one reading collapse to a form,
+   so a frequent article or seller costs no more than a rare one.
+3. Forms of a block that contradict each other in no property are scored by the share of properties they tell
+   alike; one article number scores 1. Connected components of these pairs are solved apart.
+4. In a component, a maximum-weight matching is solved for each pair of sellers with different offers (the forms a
+   seller lists). Matches are merged in the order of their weight unless a cycle would join contradicting readings.
+   What is left, of the same seller too, joins the only class it is compatible with.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sheafwork.llm.strings import distance, fold
 from sheafwork.session import written
 
+LIKE = 0.5  #: share of told properties from which two forms may be one article
+MISSING = 2  #: properties that the shorter of two forms may leave out
 TYPO_RATIO = 4  #: a spelling is a typing error of a neighbour at least this many times as frequent
 # Words of colours, materials and other properties, by the value they mean.
 COLOUR = {"black": "black blk noir schwarz", "white": "white wht blanc weiss", "red": "red rouge rot", "blue": "blue blu bleu blau", "green": "green grn vert grun", "yellow": "yellow yel jaune gelb", "grey": "grey gray gris grau", "cyan": "cyan cyn", "magenta": "magenta mag"}
@@ -71,7 +76,7 @@ def _num(x: str, factor: float = 1.0) -> str:
 @lru_cache(50_000)
 def _vocabulary(kind: str) -> dict[str, tuple[str, str]]:
     out = {}
-    for name in KINDS[kind][1].split():
+    for name in KINDS[kind][1].split() if kind else _EVERY:
         for value, words in _WORDS.get(name, {}).items():
             for w in words.split():
                 out[w] = (name, value)
@@ -106,10 +111,8 @@ def _near_kind(word: str) -> tuple[str, ...]:
     return tuple(sorted({k for w, k in _KIND_WORD.items() if len(w) >= 3 and distance(word, w) == 1}))
 
 
-def _kind(words: list[str], number: str) -> str:
-    """Kind by article number, else by the words; the laser in a toner or a switch's power decides nothing."""
-    if number and number[3:5] in KINDS:
-        return number[3:5]
+def _kind(words: list[str]) -> str:
+    """Kind by the words; the laser in a toner or a switch's power decides nothing."""
     votes = [_KIND_WORD[w] for w in words if w in _KIND_WORD] + [k for w in words if w not in _ALL_WORDS and len(w) in (3, 4, 5) for k in _near_kind(w)]
     for k in ("tc", "cp", "bt", "up", "ms"):
         if k in votes:
@@ -119,9 +122,12 @@ def _kind(words: list[str], number: str) -> str:
     return max(sorted(set(votes)), key=votes.count) if votes else ""
 
 
+_EVERY = sorted({p for _, ps in KINDS.values() for p in ps.split()} - {"inch", "dia", "thread"})  #: what an article of no known kind may tell; a length is a length there
+
+
 def _quantities(kind: str, text: str) -> dict[str, str]:
-    """Measured properties of a kind in common units, from folded text."""
-    want, out = KINDS[kind][1].split(), {}
+    """Measured properties of a kind, or of any where it is unknown, in common units, from folded text."""
+    want, out = KINDS[kind][1].split() if kind else _EVERY, {}
 
     def take(name: str, pattern: str, convert) -> None:
         if name in want and name not in out and (m := re.search(pattern, text)):
@@ -160,14 +166,12 @@ def parse_listing(description: str | None, ref: str | None) -> dict:
     """number (article number), kind, values (name=value, sorted), rest (words that may name the series, folded)."""
     text = fold(description or "")
     found = MPN.search(fold(ref or "").replace(":", " ")) or MPN.search(text)
-    number = found[1] + found[2] if found and found[1][3:] in KINDS else ""
+    number = found[1] + found[2] if found else ""
     text = _MARK.sub(" ", MPN.sub(" ", text) if number else text)
     words = re.findall(r"[a-z][a-z0-9./-]*[a-z0-9]|[a-z]|4k\b|4-colour|1080p|1440p|2160p", text)
     known = [(w, _known(w.rstrip("."))) for w in words]
-    kind = _kind([k or w for w, k in known], number)
-    rest = sorted({w for w, k in known if not k and len(w) >= 4 and w.isalpha()})
-    if not kind:
-        return {"number": number, "kind": "", "values": [], "rest": rest}
+    kind = _kind([k or w for w, k in known])
+    rest = sorted({w for w, k in known if not k and len(w) >= 3 and w.isalpha()})
     values = _quantities(kind, text)
     vocabulary = _vocabulary(kind)
     said = [(w, w if w in vocabulary else _known(w)) for w in re.findall(r"4-colour|b/w|[a-z0-9][a-z0-9-]*", text)]
@@ -209,20 +213,18 @@ def correct_words(words: DataFrame, ratio: int = TYPO_RATIO) -> DataFrame:
 
 
 def _read(items: DataFrame, makers: DataFrame) -> DataFrame:
-    """item_id, seller, kind, series, values, number; the values of an article number are those most of its listings give."""
+    """item_id, seller, series (the block), values (with the kind), number. The series of an article number is the one most of its listings give."""
     parsed = written(items.withColumn("p", _parse("description", "ref")).select("item_id", "seller", "p.*"), "read")
-    words = parsed.select("item_id", "kind", "number", F.explode("rest").alias("word"))
+    words = parsed.select("item_id", F.explode("rest").alias("word"))
     makers = makers.select(F.lower("name").alias("right")).distinct()
     right = written(correct_words(words.select("word")).join(makers, "right", "left_anti"), "right")
-    series = words.join(right, "word").groupBy("item_id").agg(F.max_by("right", F.struct("n", "right")).alias("series"))
+    series = words.join(right, "word").groupBy("item_id").agg(F.max_by("right", F.struct((F.length("right") >= 4).alias("long"), "n", "right")).alias("series"))
     rows = parsed.drop("rest").join(series, "item_id", "left")
-    numbered = rows.where("number <> ''")
-    said = numbered.select("number", F.explode("values").alias("v")).groupBy("number", F.substring_index("v", "=", 1).alias("name"), "v").agg(F.count("*").alias("c"))
-    most = said.groupBy("number", "name").agg(F.max_by("v", F.struct("c", "v")).alias("v")).groupBy("number").agg(F.array_sort(F.collect_list("v")).alias("all"))
-    named = numbered.where("series is not null").groupBy("number", "series").agg(F.count("*").alias("c")).groupBy("number").agg(F.max_by("series", F.struct("c", "series")).alias("its"))
-    rows = rows.join(most, "number", "left").join(named, "number", "left")
-    values = F.when(F.col("number") != "", F.coalesce("all", "values")).otherwise(F.col("values"))
-    return rows.select("item_id", "seller", "kind", F.coalesce("its", "series", F.lit("")).alias("series"), values.alias("values"), "number")
+    named = rows.where("number <> '' and series is not null").groupBy("number", "series").agg(F.count("*").alias("c")).groupBy("number").agg(F.max_by("series", F.struct("c", "series")).alias("its"))
+    rows = rows.join(named, "number", "left")
+    kind = F.when(F.col("kind") != "", F.array(F.concat(F.lit("kind="), "kind"))).otherwise(F.array().cast("array<string>"))
+    block = F.coalesce("its", "series", F.when(F.col("number") != "", F.col("number")))
+    return rows.select("item_id", F.coalesce("seller", F.lit("")).alias("seller"), block.alias("series"), F.concat(kind, "values").alias("values"), "number").where("series is not null")
 
 
 def _assignment(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -252,34 +254,38 @@ def _assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, cols + 1) if match[j] and weight[match[j] - 1, j - 1] > 0]
 
 
-def _clash(a: tuple[dict[str, str], set[str]], b: tuple[dict[str, str], set[str]]) -> bool:
-    """Whether two forms (values, article numbers) tell a property or the article number differently."""
-    return any(b[0].get(k, v) != v for k, v in a[0].items()) or bool(a[1] and b[1] and not a[1] & b[1])
+Form = tuple[dict[str, str], set[str]]  #: properties and article numbers
+
 
+def _clash(a: Form, b: Form) -> bool:
+    """Whether two forms tell a property or the article number differently; one number settles it."""
+    if a[1] & b[1]:
+        return False
+    return any(b[0].get(k, v) != v for k, v in a[0].items()) or bool(a[1] and b[1])
 
-def _score(a: tuple[dict[str, str], set[str]], b: tuple[dict[str, str], set[str]], need: int) -> float:
-    """Share of the properties of the kind that two forms tell alike; 0 on any contradiction."""
-    return 0.0 if _clash(a, b) else len(a[0].keys() & b[0].keys()) / need
 
+def _score(a: Form, b: Form) -> float:
+    """Share of the told properties that two forms tell alike; 1 for one article number, 0 on any contradiction or without a property beside the kind."""
+    if a[1] & b[1]:
+        return 1.0
+    if _clash(a, b):
+        return 0.0
+    same = a[0].keys() & b[0].keys()
+    share = len(same) / len(a[0].keys() | b[0].keys()) if same - {"kind"} else 0.0
+    return share if share >= LIKE else 0.0
 
-def _pairings(forms: dict[str, tuple[dict[str, str], set[str]]], sellers: dict[str, set[str]], short: set[str], need: int) -> dict[tuple[str, str], float]:
+
+def _pairings(forms: dict[str, Form], offers: list[tuple[str, ...]]) -> dict[tuple[str, str], float]:
     """Matches of different forms over all pairs of sellers, each by maximum weight within its connected components.
 
-    Forms that both sellers have are matched already. Sellers with the same forms give the same matches, so
-    each pair of offers is solved once, and only where one of the two has an incomplete form.
+    Forms that both sellers have are matched with each other. Sellers with one offer give the same matches,
+    so each pair of offers is solved once.
     """
-    offers: dict[str, set[str]] = defaultdict(set)
-    for form, names in sellers.items():
-        for seller in names:
-            offers[seller].add(form)
-    kinds = sorted({tuple(sorted(o)) for o in offers.values()})
     out: dict[tuple[str, str], float] = {}
-    for a in (o for o in kinds if short & set(o)):
-        for b in kinds:
-            if a == b or (short & set(b) and b < a):
-                continue
+    for n, a in enumerate(offers):
+        for b in offers[:n]:
             left, right = [f for f in a if f not in b], [f for f in b if f not in a]
-            edges = {(x, y): w for x in left for y in right if (x in short or y in short) and (w := _score(forms[x], forms[y], need)) > 0}
+            edges = {(x, y): w for x in left for y in right if (w := _score(forms[x], forms[y])) > 0}
             group: dict[str, str] = {f: f for f in left + right}
             for x, y in edges:
                 old, now = group[y], group[x]
@@ -292,65 +298,108 @@ def _pairings(forms: dict[str, tuple[dict[str, str], set[str]]], sellers: dict[s
     return out
 
 
-def _block(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Join the incomplete forms of one block to each other and to its classes; node_class, article.
+def _component(rows: pd.DataFrame) -> pd.DataFrame:
+    """form, article, how of one component, from its different offers: how a form came to its article (matching, fitting, alone).
 
-    Matches of seller pairs are merged in the order of their weight. A form with equally good partners that
-    contradict each other, of any seller, stays alone, and so does one that tells no property. What is left
-    joins a class if that is the only one it is compatible with.
+    A form with equally good partners that contradict each other, of any seller, stays alone.
     """
-    need, short = int(nodes["need"].iloc[0]), set()
-    forms: dict[str, tuple[dict[str, str], set[str]]] = {}
-    sellers: dict[str, set[str]] = defaultdict(set)
-    for r in nodes.itertuples(index=False):
-        forms.setdefault(r.node_class, (dict(v.split("=", 1) for v in r.values), set()))[1].update([r.number] if r.number else [])
-        sellers[r.node_class].add(r.seller)
-        if len(r.values) < need:
-            short.add(r.node_class)
+    forms: dict[str, Form] = {}
+    offers = []
+    for offer in rows["offer"]:
+        offers.append(tuple(sorted(f["form"] for f in offer)))
+        for f in offer:
+            forms[f["form"]] = (dict(v.split("=", 1) for v in f["values"]), {f["number"]} if f["number"] else set())
+    scores = {x: {y: w for y in forms if y != x and (w := _score(forms[x], forms[y])) > 0} for x in forms}
     torn = set()
-    for x in sorted(short):
-        scores = {y: _score(forms[x], forms[y], need) for y in forms if y != x}
-        top = max(scores.values(), default=0.0)
-        best = [y for y, w in scores.items() if top > 0 and w == top]
+    for x, partners in scores.items():
+        guessed = {y: w for y, w in partners.items() if not forms[x][1] & forms[y][1]}  # a common article number is no guess
+        best = [y for y, w in guessed.items() if w == max(guessed.values())]
         if any(_clash(forms[y], forms[z]) for i, y in enumerate(best) for z in best[:i]):
             torn.add(x)
     home = {f: f for f in forms}
     joined = {f: (dict(v), set(n)) for f, (v, n) in forms.items()}
+    how = dict.fromkeys(forms, "alone")
 
-    def merge(x: str, y: str) -> None:
+    def merge(x: str, y: str, way: str) -> None:
         a, b = home[x], home[y]
         if a != b and not _clash(joined[a], joined[b]):
-            into, gone = sorted((a, b), key=lambda f: (f in short, f))
-            joined[into][0].update(joined[gone][0])
-            joined[into][1].update(joined.pop(gone)[1])
+            into, gone = sorted((a, b), key=lambda f: (-len(joined[f][0]), f))
+            joined[into] = (joined[gone][0] | joined[into][0], joined[into][1] | joined.pop(gone)[1])
             home.update({f: into for f, h in home.items() if h == gone})
+            how.update({f: way for f in (x, y) if how[f] == "alone"})
 
-    matches = _pairings(forms, sellers, short, need)
-    for (x, y), _ in sorted(matches.items(), key=lambda m: (-m[1], m[0])):
+    for (x, y), _ in sorted(_pairings(forms, sorted(set(offers))).items(), key=lambda m: (-m[1], m[0])):
         if x not in torn and y not in torn:
-            merge(x, y)  # values that contradict what is merged so far close a contradicting cycle
-    alone = sorted(x for x in short - torn if home[x] == x and sum(h == x for h in home.values()) == 1)
-    fits = {x: [c for c in sorted(joined) if c != x and c not in torn and _score(forms[x], joined[c], need) > 0] for x in alone}
+            merge(x, y, "matching")  # values that contradict what is merged so far close a contradicting cycle
+    size = Counter(home.values())
+    alone = sorted(x for x in forms if x not in torn and size[home[x]] == 1)
+    fits = {x: [c for c in sorted(joined) if c != x and c not in torn and _score(forms[x], joined[c]) > 0] for x in alone}
     for x, classes in fits.items():
         if len(classes) == 1:
-            merge(x, classes[0])
-    return pd.DataFrame([(f, home[f]) for f in forms], columns=["node_class", "article"])
+            merge(x, classes[0], "fitting")
+    return pd.DataFrame([(f, home[f], how[f]) for f in forms], columns=["form", "article", "how"])
+
+
+def _without(values: Column, n: int) -> Column:
+    """The sets of `values` with 0 to n (at most 2) elements left out."""
+    one = F.transform(values, lambda v: F.array_remove(values, v))
+    sets = [F.array(values), one] + ([F.flatten(F.transform(one, lambda s: F.transform(s, lambda v: F.array_remove(s, v))))] if n > 1 else [])
+    return F.array_distinct(F.concat(*sets))
+
+
+def _edges(forms: DataFrame) -> DataFrame:
+    """a, b: forms of one block that may be one article, in both directions.
+
+    A form meets those whose properties hold all of its own (all but one of them, where some must be missing),
+    by a join on the set; forms of one article number meet its first form. So no group is paired with itself.
+    """
+    key = lambda s: F.xxhash64("series", F.array_join(s, "\u0001"))
+    small = F.size("values") >= 2
+    side = lambda x: [F.col("form").alias(x), F.col("values").alias(f"v{x}"), F.col("number").alias(f"n{x}")]
+    mine = F.when(F.col("short"), _without(F.col("values"), 1)).otherwise(F.array("values"))
+    left = forms.where(small).select(*side("a"), F.explode(F.array_distinct(F.transform(mine, key))).alias("key"))
+    right = forms.where(small).select(*side("b"), F.explode(F.array_distinct(F.transform(F.filter(_without(F.col("values"), MISSING), lambda s: F.size(s) >= 2), key))).alias("key"))
+    names = lambda v: F.transform(v, lambda x: F.substring_index(x, "=", 1))
+    same, told = F.size(F.array_intersect("va", "vb")), F.size(F.array_intersect(names("va"), names("vb")))
+    fits = (same == told) & (same >= LIKE * (F.size("va") + F.size("vb") - same)) & ((F.col("na") == "") | (F.col("nb") == "") | (F.col("na") == F.col("nb")))
+    alike = left.join(right, "key").where(F.col("a") != F.col("b")).where(fits).select("a", "b")
+    numbered = forms.where("number <> ''").select("form", "number")
+    hub = numbered.groupBy("number").agg(F.min("form").alias("hub"))
+    star = numbered.join(hub, "number").where("form <> hub").select(F.col("form").alias("a"), F.col("hub").alias("b"))
+    one = alike.unionByName(star)
+    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """form, component (the smallest form reached), by passing the smallest name on until nothing changes; every round is a written table."""
+    labels = written(edges.groupBy(F.col("a").alias("form")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    while True:
+        seen = edges.join(labels.select(F.col("form").alias("b"), "component"), "b").groupBy(F.col("a").alias("form")).agg(F.min("component").alias("near"))
+        further = labels.join(labels.select(F.col("form").alias("component"), F.col("component").alias("far")), "component")
+        after = further.join(seen, "form").select("form", F.least("component", "near", "far").alias("now"), "component")
+        after = written(after, "labels")
+        labels = after.select("form", F.col("now").alias("component"))
+        if after.where("now <> component").isEmpty():
+            return labels
 
 
 def match_listings(items: DataFrame, makers: DataFrame) -> DataFrame:
-    """item_id, article: listings with one article are the same product.
+    """item_id, article, how (equal, matching, fitting, alone): listings with one article are the same product.
 
-    `items` has item_id, seller, description, ref, one row per item; `makers` has name. Listings whose kind or
-    series cannot be read and that carry no article number get no row. Equal listings, of one seller or
-    several, share a class before anything is paired, so a frequent article or seller makes no large block.
+    `items` has item_id, seller, description, ref, one row per item; `makers` has name. Listings without a word
+    that may name a series and without an article number get no row; those that tell no property stay alone
+    unless their number is known. `how` says what joined the listing's reading to others: nothing but equal readings,
+    a match of seller pairs, or being the only fit. An empty frame gives an empty result.
     """
-    need = F.create_map(*[F.lit(x) for k, (_, ps) in KINDS.items() for x in (k, len(ps.split()))])
-    read = _read(items, makers).where("kind <> '' and series <> ''").withColumn("need", need[F.col("kind")])
-    short = F.size("values") < F.col("need")
-    own = F.when(short & (F.col("number") != ""), F.col("number")).otherwise(F.lit(""))
-    read = read.withColumn("node_class", F.concat_ws("|", "series", "kind", F.array_join("values", ","), own))
-    rows = written(read.select("item_id", F.coalesce("seller", F.lit("")).alias("seller"), "series", "kind", "values", "need", "number", "node_class", short.alias("short")), "listings")
-    blocks = rows.where("short").select("series", "kind").distinct()
-    nodes = rows.join(blocks, ["series", "kind"], "left_semi").select("series", "kind", "seller", "values", "need", "number", "node_class").distinct()
-    moved = nodes.groupBy("series", "kind").applyInPandas(_block, "node_class string, article string")
-    return rows.join(moved, "node_class", "left").select("item_id", F.coalesce("article", "node_class").alias("article"))
+    need = F.create_map(*[F.lit(x) for k, (_, ps) in KINDS.items() for x in (f"kind={k}", len(ps.split()) + 1)])
+    told = F.size("values") > F.when(F.get("values", F.lit(0)).startswith("kind="), 1).otherwise(0)
+    read = _read(items, makers).withColumn("short", F.size("values") < F.coalesce(need[F.get("values", F.lit(0))], F.lit(99)))
+    form = F.concat_ws("|", "series", F.array_join("values", ","), "number", F.when(~told & (F.col("number") == ""), F.col("item_id")))
+    rows = written(read.withColumn("form", form), "listings")
+    forms = written(rows.groupBy("form").agg(*[F.first(c).alias(c) for c in ("series", "values", "number", "short")], F.count("*").alias("n")), "forms")
+    edges = written(_edges(forms), "edges")
+    parts = _components(edges)
+    inside = rows.join(parts, "form").groupBy("component", "seller").agg(F.array_sort(F.collect_set(F.struct("form", "values", "number"))).alias("offer"))
+    solved = inside.select("component", "offer").distinct().groupBy("component").applyInPandas(_component, "form string, article string, how string")
+    found = rows.select("item_id", "form").join(solved, "form", "left").join(forms.select("form", "n"), "form")
+    return found.select("item_id", F.coalesce("article", "form").alias("article"), F.coalesce("how", F.when(F.col("n") > 1, "equal").otherwise("alone")).alias("how"))

@@ -59,8 +59,9 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every readable line with the article it offers."""
-    return _articles(spark, sf_dir)
+    """Every readable line with the article it offers, how it came to it, and the number of other lines of that article."""
+    member = written(_articles(spark, sf_dir), "articles")
+    return member.join(member.groupBy("article").agg((F.count("*") - 1).alias("links")), "article")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,23 +160,47 @@ def test_incomplete_listings_meet_without_a_class(spark):
     assert len({got[5], got[6], got[7]}) == 3 and len({got[8], got[9], got[10]}) == 3
 
 
-def test_block_merges_nothing_contradicting():
+def test_component_merges_nothing_contradicting():
     rng = random.Random(8)
     for _ in range(60):
-        rows, values = {}, {}
+        sellers, values = {}, {}
         for _ in range(rng.randint(1, 9)):
             said = sorted(f"{k}={rng.choice('xy')}" for k in "abc" if rng.random() < 0.7)
             key = "|".join(said)
-            rows[key, rng.choice("PQR")] = said
+            sellers.setdefault(rng.choice("PQR"), {})[key] = {"form": key, "values": said, "number": ""}
             values[key] = dict(v.split("=") for v in said)
-        nodes = L.pd.DataFrame([(s, v, 3, "", k) for (k, s), v in rows.items()], columns=["seller", "values", "need", "number", "node_class"])
-        got = dict(L._block(nodes).itertuples(index=False))
+        got = {r.form: r.article for r in L._component(L.pd.DataFrame({"offer": [list(o.values()) for o in sellers.values()]})).itertuples(index=False)}
         assert got.keys() == values.keys()
         for x, y in itertools.combinations(values, 2):
             if got[x] == got[y]:
                 assert all(values[y].get(k, v) == v for k, v in values[x].items())
 
 
+def test_articles_of_no_known_kind_and_one_article_number(spark):
+    rows = [
+        (1, "A", "Zifubor widget 40 W 230 V black", None), (2, "B", "black widget, Zifubor, 0.04 kW 230V", None), (3, "C", "Zifubor widget 60 W 230 V black", None),
+        (4, "A", "Kovamir hose 3/4in 10 m red", "KOVXX-00AAA"), (5, "B", "Kovamir hose", "kovxx 00aaa"), (6, "C", "Kovamir hose 3/4in 10 m rouge", None), (7, "A", "Kovamir hose 3/4in 10 m red", None),
+    ]
+    df = spark.createDataFrame(rows, "item_id bigint, seller string, description string, ref string")
+    got = {r.item_id: (r.article, r.how) for r in L.match_listings(df, spark.createDataFrame([], "name string")).collect()}
+    assert got[1][0] == got[2][0] != got[3][0]
+    assert len({got[i][0] for i in (4, 5, 6, 7)}) == 1 and got[5][1] == "matching"
+
+
+def test_edges_against_all_pairs(spark):
+    rng = random.Random(12)
+    forms = {}
+    for i in range(120):
+        said = sorted({f"{k}={rng.choice('xyz')}" for k in rng.sample("abcd", rng.randint(2, 4))})
+        forms[f"f{i:03}"] = (said, rng.choice(["", "", "n1", "n2"]))
+    df = spark.createDataFrame([(f, "s", v, n, len(v) < 4) for f, (v, n) in forms.items()], "form string, series string, values array<string>, number string, short boolean")
+    parts = {r.form: r.component for r in L._components(L._edges(df)).collect()}
+    for x, y in itertools.combinations(sorted(forms), 2):
+        a, b = ((dict(v.split("=") for v in forms[f][0]), {forms[f][1]} - {""}) for f in (x, y))
+        if a[0].keys() >= b[0].keys() and L._score(a, b) > 0:
+            assert parts[x] == parts[y]
+
+
 # ---- packing
 def test_best_fill_against_all_subsets():
     rng = random.Random(6)
