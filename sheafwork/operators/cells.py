@@ -28,8 +28,8 @@ def shrink_spans(cells: DataFrame, keys: list[str], id_: str = "cell_id") -> Dat
     return cols.join(stop, id_, "left").withColumn("new_row_span", F.greatest(F.lit(1), F.coalesce("stop", "row_span"))).drop("stop")
 
 
-def best_edges(cells: DataFrame, rulings: DataFrame, keys: list[str]) -> DataFrame:
-    """cell_id, edge, stroke: the heaviest ruling that covers EDGE_COVER of each edge within EDGE_TOL, the first on ties.
+def best_edges(cells: DataFrame, rulings: DataFrame, keys: list[str], color: bool = False) -> DataFrame:
+    """cell_id, edge, stroke (and color, if asked for): the heaviest ruling that covers EDGE_COVER of each edge within EDGE_TOL, the first on ties.
 
     Edges and rulings meet in bins of the position, so the work is in neighbours, not in pairs of a page.
     """
@@ -45,7 +45,8 @@ def best_edges(cells: DataFrame, rulings: DataFrame, keys: list[str]) -> DataFra
     pairs = e.join(r, [*keys, "orientation", "bin"]).where(F.abs(F.col("position") - F.col("at")) <= EDGE_TOL)
     cover = (F.least("to", "high") - F.greatest("from", "low")) / (F.col("to") - F.col("from"))
     good = pairs.where(cover >= EDGE_COVER)
-    return good.groupBy("cell_id", "edge").agg(F.max(F.struct("stroke", (-F.col("ord")).alias("n"))).alias("m")).select("cell_id", "edge", F.round("m.stroke", 4).alias("stroke"))
+    more = ["color"] if color else []
+    return good.groupBy("cell_id", "edge").agg(F.max(F.struct("stroke", (-F.col("ord")).alias("n"), *more)).alias("m")).select("cell_id", "edge", F.round("m.stroke", 4).alias("stroke"), *[f"m.{c}" for c in more])
 
 
 def best_fills(cells: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:

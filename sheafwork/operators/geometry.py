@@ -55,6 +55,19 @@ def interval_islands(df: DataFrame, keys: list[str], low: str, high: str, tol: f
     return flagged.withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
 
 
+def merge_rulings(rulings: DataFrame, keys: list[str]) -> DataFrame:
+    """Collinear touching segments as one ruling: ord, orientation, position (mean of its whole bucket), low, high, stroke (the heaviest), color (of the first).
+
+    `rulings` has ord, orientation, position, low, high, stroke, color; positions share a bucket if they round to one point.
+    """
+    of = [*keys, "orientation", "bucket"]
+    bucketed = rulings.withColumn("bucket", F.rint("position").cast("bigint"))
+    joined = interval_islands(bucketed, of, "low", "high", 1.0, "ord").withColumn("mean", F.avg("position").over(Window.partitionBy(*of)))
+    first = F.min_by(F.struct("ord", "color"), F.struct("low", "ord"))
+    one = joined.groupBy(*of, "island").agg(first.alias("f"), F.round(F.max("mean"), 4).alias("position"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("stroke").alias("stroke"))
+    return one.select(*keys, "f.ord", "orientation", "position", "low", "high", "stroke", "f.color")
+
+
 def prune(bounds: Column, least: float = 3.0) -> Column:
     """Boundaries without those nearer than `least` to the last kept one; first and last stay, an interior one that crowds the last goes."""
     n = F.size(bounds)

@@ -71,7 +71,7 @@ def outlier_columns(lines: DataFrame, members: int = 3, tol: float = 10.0) -> Da
     return cluster_positions(outlier_gaps(lines), PAGE, "position", tol).where(F.col("members") >= members)
 
 
-def corridor_spans(lines: DataFrame) -> DataFrame:
+def corridor_spans(lines: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Stretches of half-point bins of a page over which nothing changes: keys, first, last (bins from the left edge of the content), straddling, free, left, right (edges of the content).
 
     Lines of at least two coarse runs vote, on a page with at least two of them. A line straddles the bins
@@ -80,7 +80,7 @@ def corridor_spans(lines: DataFrame) -> DataFrame:
     """
     coarse = lines.join(coarse_gaps(lines), [*PAGE, "line"])
     page, line = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE, "line")
-    edges = lines.groupBy(*PAGE).agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
+    edges = edges or lines.groupBy(*PAGE).agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
     runs = split_runs(coarse, F.col("coarse")).groupBy(*PAGE, "line", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     bin_of = lambda c: F.floor((F.col(c) - F.col("left")) / STEP)
     runs = runs.join(edges, PAGE).select(*PAGE, "line", "run", "left", "right", bin_of("x0").alias("s"), bin_of("x1").alias("e"))
@@ -100,9 +100,9 @@ def corridor_spans(lines: DataFrame) -> DataFrame:
     return summed.where("straddling > 0").select(*PAGE, "first", "last", "straddling", (F.col("straddling") - F.col("busy")).alias("free"), "left", "right")
 
 
-def corridors(lines: DataFrame, witnesses: int = WITNESSES, share: float = CLEAR_SHARE) -> DataFrame:
+def corridors(lines: DataFrame, witnesses: int = WITNESSES, share: float = CLEAR_SHARE, edges: DataFrame | None = None) -> DataFrame:
     """Separators between columns: middle of bins that at least `witnesses` lines straddle and `share` of those leave free, at least CORRIDOR wide, off the edges of the content."""
-    good = corridor_spans(lines).where((F.col("straddling") >= witnesses) & (F.col("free") >= F.col("straddling") * share))
+    good = corridor_spans(lines, edges).where((F.col("straddling") >= witnesses) & (F.col("free") >= F.col("straddling") * share))
     along = Window.partitionBy(*PAGE).orderBy("first")
     fresh = F.when(F.col("first") == F.lag("last").over(along) + 1, 0).otherwise(1)
     runs = good.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -167,16 +167,13 @@ def rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("rule_merge", f"""
-    WITH r AS (SELECT *, CAST(round_even(position, 0) AS BIGINT) AS bucket FROM ({_RULES})),
+    WITH r AS (SELECT *, CAST(round_even(position, 0) AS BIGINT) AS bucket, printf('%06X', ord * 4099 % 16777216) AS color FROM ({_RULES})),
     i AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page_number, orientation, bucket ORDER BY low, ord ROWS UNBOUNDED PRECEDING) AS island, avg(position) OVER (PARTITION BY doc_id, page_number, orientation, bucket) AS mean
       FROM (SELECT *, CASE WHEN low <= max(high) OVER (PARTITION BY doc_id, page_number, orientation, bucket ORDER BY low, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1.0 THEN 0 ELSE 1 END AS n FROM r))
-    SELECT doc_id, page_number, orientation, round(max(mean), 4) AS position, min(low) AS low, max(high) AS high, max(stroke) AS stroke FROM i GROUP BY doc_id, page_number, orientation, bucket, island""")
+    SELECT doc_id, page_number, arg_min(ord, (low, ord)) AS ord, orientation, round(max(mean), 4) AS position, min(low) AS low, max(high) AS high, max(stroke) AS stroke, arg_min(color, (low, ord)) AS color FROM i GROUP BY doc_id, page_number, orientation, bucket, island""")
 def rule_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Collinear touching segments as one ruling; position is the mean of the whole bucket."""
-    keys = [*Y.PAGE, "orientation", "bucket"]
-    bucketed = rules(spark, sf).withColumn("bucket", F.rint("position").cast("bigint"))
-    joined = G.interval_islands(bucketed, keys, "low", "high", 1.0, "ord").withColumn("mean", F.avg("position").over(Window.partitionBy(*keys)))
-    return joined.groupBy(*keys, "island").agg(F.round(F.max("mean"), 4).alias("position"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("stroke").alias("stroke")).drop("bucket", "island")
+    """Collinear touching segments as one ruling; position is the mean of the whole bucket, colour that of the first segment."""
+    return G.merge_rulings(rules(spark, sf).withColumn("color", F.format_string("%06X", F.col("ord") * 4099 % 16777216)), Y.PAGE)
 
 
 @query("rule_filter", f"SELECT orientation, count(*) AS rulings FROM ({_RULES}) WHERE high - low >= 0.04 * 842 GROUP BY orientation")
@@ -203,10 +200,17 @@ def bounds(spark: SparkSession, sf: str) -> DataFrame:
     return words(spark, sf).groupBy(*Y.PAGE).agg(F.sort_array(F.collect_set(F.round("x0", 1))).alias("bounds"))
 
 
-@query("prune_bounds")
+def pruned(bounds: str) -> str:
+    """Boundaries without those nearer than 3 points to the last kept one, the last one always kept."""
+    kept = f"list_reduce(list_transform({bounds}[1:-2], lambda x: [x]), lambda a, v: CASE WHEN v[1] - a[-1] >= 3.0 THEN list_concat(a, v) ELSE a END)"
+    return f"CASE WHEN len({bounds}) <= 2 THEN {bounds} ELSE list_concat(list_filter({kept}, lambda k, i: i = 1 OR {bounds}[-1] - k >= 3.0), [{bounds}[-1]]) END"
+
+
+@query("prune_bounds", f"WITH b AS (SELECT doc_id, page_number, list_sort(list_concat(bounds, list_transform(bounds, lambda x: x + 2.4))) AS b FROM ({_BOUNDS})), p AS (SELECT doc_id, page_number, {pruned('b')} AS p FROM b) SELECT doc_id, page_number, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS pos, unnest(p) AS bound FROM p")
 def prune_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Boundaries of a page without those that crowd the one before."""
-    return bounds(spark, sf).select(*Y.PAGE, F.posexplode(G.prune(F.col("bounds"), 12.0)).alias("pos", "bound"))
+    """Boundaries of a page, each with another 2.4 points beside it, without those that crowd the one before."""
+    twice = F.sort_array(F.concat("bounds", F.transform("bounds", lambda x: x + 2.4)))
+    return bounds(spark, sf).select(*Y.PAGE, F.posexplode(G.prune(twice)).alias("pos", "bound"))
 
 
 @query("nearest_bound", f"""
