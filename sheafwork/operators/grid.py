@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sheafwork.functions.labels import border_style, near_white
+from sheafwork.functions.values import strip
 from sheafwork.operators import cells as C, geometry as G, layout as Y
 from sheafwork.operators.layout import PAGE
 from sheafwork.session import written
@@ -47,7 +48,7 @@ def _or_none(name: str, kind: str) -> Column:
 
 def text_lines(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Non-blank words with their line, and the lines with their boxes."""
-    placed = written(Y.group_lines(words.where("trim(text) <> ''")), "lines")
+    placed = written(Y.group_lines(words.where(strip(F.col("text")) != "")), "lines")
     return placed, placed.groupBy(*PAGE, "line").agg(*G.union_box())
 
 
@@ -217,7 +218,7 @@ def line_runs(gaps: DataFrame, lines: DataFrame, bounds: DataFrame, corridors: D
     words = gaps.join(laid, [*PAGE, "line"]).withColumn("run", F.sum(cut.cast("int")).over(along))
     style = F.struct("font_name", "font_size", "bold", "italic", "color", "source")
     lead = F.max_by(style, F.struct(F.length("text"), F.round(F.col("x1") - F.col("x0"), 6), -F.col("i")))
-    text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda w: w["text"]), " "))
+    text = strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda w: w["text"]), " "))
     keep = ("row", "n_rows", "band_top", "band_bottom", "across")
     runs = words.groupBy(*PAGE, "line", "run").agg(text.alias("text"), *G.union_box(), F.min("confidence").alias("confidence"), lead.alias("lead"), *[F.first(c).alias(c) for c in keep])
     return runs.where("text <> ''")
@@ -247,7 +248,7 @@ def spanned(runs: DataFrame, bounds: DataFrame) -> DataFrame:
 def assembled(placed: DataFrame) -> DataFrame:
     """Cells of the runs that share a slot: texts in reading order, boxes united, the widest span; the rest from the first run. Spans end before other cells."""
     order = F.struct("line", "run")
-    text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "run", "text"))), lambda r: r["text"]), " "))
+    text = strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "run", "text"))), lambda r: r["text"]), " "))
     first = F.min_by(F.struct("row_span", "confidence", "lead", order.alias("o")), order)
     cells = placed.groupBy(*PAGE, "row_idx", "col_idx").agg(text.alias("text"), *G.union_box(), F.max("col_span").alias("col_span"), first.alias("f"))
     cells = cells.select(

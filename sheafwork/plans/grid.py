@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sheafwork.functions.values import strip
 from sheafwork.operators import geometry, grid as G
+from sheafwork.plans import sqltext as S
 from sheafwork.plans.cells import PAGE, _C, cells
 from sheafwork.plans.layout import _BINS, pruned
 from sheafwork.plans.registry import Plans
@@ -18,7 +20,7 @@ def made(spark: SparkSession, sf: str) -> G.Pages:
     """Pages of 700 x 842 points. A word ends before its cell does, so that there are gaps; headings are shaded on every third page, an image stands above the text of every fifth."""
     i, b = F.col("cell_id"), lambda k: F.col(f"bbox.{k}")
     full = cells(spark, sf, *PAGE, "ord", "text", "cell_role", "style", "bbox", "source", "confidence").where("bbox is not null")
-    words = full.where("trim(text) <> ''").select(
+    words = full.where(strip(F.col("text")) != "").select(
         i.alias("word_id"), *PAGE, "ord", "text", b("x0").alias("x0"), b("top").alias("top"), F.greatest(b("x0") + 5, b("x1") - 8 - i % 5 * 6).alias("x1"), b("bottom").alias("bottom"),
         F.lit("Helvetica").alias("font_name"), F.col("style.font_size").alias("font_size"), F.col("style.bold").alias("bold"), F.lit(False).alias("italic"), F.lit("000000").alias("color"), "source", "confidence",
     )
@@ -42,7 +44,7 @@ def _islands(source: str, tol: float, having: str = "") -> str:
 _X = "(SELECT cell_id, doc_id, page_number, ord, cell_role, bbox.x0 - 2 AS a0, bbox.x1 + 2 AS a1, bbox.top - 4 AS b0, bbox.top + 16 AS b1 FROM c WHERE bbox IS NOT NULL AND cell_role IN ('heading', 'body', 'total'))"
 _EDGES = " UNION ALL ".join(f"SELECT doc_id, page_number, ord, '{o}' AS orientation, {at} AS position, {low} AS low, {high} AS high FROM {_X} WHERE doc_id % 2 = 0" for o, at, low, high in (("h", "b0", "a0", "a1"), ("h", "b1", "a0", "a1"), ("v", "a0", "b0", "b1"), ("v", "a1", "b0", "b1")))
 _INSIDE = "position > lft + 3 AND position < rgt - 3"
-_MADE = f"""{_C}, l AS (SELECT cell_id AS word_id, doc_id, page_number, ord, dense_rank() OVER (PARTITION BY doc_id, page_number ORDER BY bbox.top) - 1 AS line, text, bbox.x0 AS x0, bbox.top AS top, greatest(bbox.x0 + 5, bbox.x1 - 8 - cell_id % 5 * 6) AS x1, bbox.bottom AS bottom, style.font_size AS font_size, confidence FROM c WHERE bbox IS NOT NULL AND trim(text) <> ''),
+_MADE = f"""{_C}, l AS (SELECT cell_id AS word_id, doc_id, page_number, ord, dense_rank() OVER (PARTITION BY doc_id, page_number ORDER BY bbox.top) - 1 AS line, text, bbox.x0 AS x0, bbox.top AS top, greatest(bbox.x0 + 5, bbox.x1 - 8 - cell_id % 5 * 6) AS x1, bbox.bottom AS bottom, style.font_size AS font_size, confidence FROM c WHERE bbox IS NOT NULL AND {S.strip('text')} <> ''),
     ln AS (SELECT doc_id, page_number, line, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom FROM l GROUP BY ALL),
     im AS (SELECT DISTINCT doc_id, page_number, 60.0 AS x0, 5.0 AS top, 156.0 AS x1, 45.0 AS bottom FROM c WHERE bbox IS NOT NULL AND doc_id % 5 = 0),
     fl AS (SELECT doc_id, page_number, a0 AS x0, b0 AS top, a1 AS x1, b1 AS bottom FROM {_X} WHERE cell_role = 'heading' AND doc_id % 3 = 0),
@@ -131,7 +133,7 @@ _PLACED = f"""lr AS (SELECT ln.*, rows_, [i FOR i IN range(0, len(rows_) - 1) IF
     lx AS (SELECT doc_id, page_number, line, h[1] AS row, len(h) AS n_rows, mid, coalesce((SELECT list_sort(list(DISTINCT gv.position)) FROM gv WHERE gv.doc_id = lr2.doc_id AND gv.page_number = lr2.page_number AND gv.low <= mid + 2 AND gv.high >= mid - 2), []) AS across FROM lr2),
     wc AS (SELECT g.*, row, n_rows, across, coalesce(CASE WHEN len(across) >= 2 THEN len(list_filter(across, lambda s: before < s AND s < x0)) > 0 ELSE EXISTS (SELECT 1 FROM cr WHERE cr.doc_id = g.doc_id AND cr.page_number = g.page_number AND before < cr.position AND cr.position < x0) OR coalesce((SELECT outlier FROM o2 WHERE o2.word_id = g.word_id), false) END, false) AS cut FROM g JOIN lx USING (doc_id, page_number, line)),
     wr AS (SELECT *, sum(CAST(cut AS INTEGER)) OVER (PARTITION BY doc_id, page_number, line ORDER BY x0, ord ROWS UNBOUNDED PRECEDING) AS run FROM wc),
-    rn AS (SELECT doc_id, page_number, line, run, trim(string_agg(text, ' ' ORDER BY x0, ord)) AS text, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom, any_value(row) AS row, any_value(n_rows) AS n_rows, any_value(across) AS across FROM wr GROUP BY doc_id, page_number, line, run),
+    rn AS (SELECT doc_id, page_number, line, run, {S.strip("string_agg(text, ' ' ORDER BY x0, ord)")} AS text, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom, any_value(row) AS row, any_value(n_rows) AS n_rows, any_value(across) AS across FROM wr GROUP BY doc_id, page_number, line, run),
     rc AS (SELECT rn.*, cols, list_max(list_filter(across, lambda r: r <= x0 + 2)) AS bl, list_min(list_filter(across, lambda r: r >= x1 - 2)) AS br, [i FOR i IN range(0, len(cols) - 1) IF least(x1, cols[i + 2]) - greatest(x0, cols[i + 1]) >= greatest(0.75, 0.3 * least(x1 - x0, cols[i + 2] - cols[i + 1]))] AS hit FROM rn JOIN cb USING (doc_id, page_number)),
     ri AS (SELECT *, list_last([i FOR i IN range(0, len(cols)) IF abs(cols[i + 1] - bl) = list_min(list_transform(cols, lambda v: abs(v - bl))) AND abs(cols[i + 1] - bl) <= 3]) AS i0, list_last([i FOR i IN range(0, len(cols)) IF abs(cols[i + 1] - br) = list_min(list_transform(cols, lambda v: abs(v - br))) AND abs(cols[i + 1] - br) <= 3]) AS i1 FROM rc)"""
 
