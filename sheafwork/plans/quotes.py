@@ -8,6 +8,7 @@ from sheafwork.functions import labels as L
 from sheafwork.operators import quotes as Q
 from sheafwork.plans import sqltext as S
 from sheafwork.plans.registry import Plans
+from sheafwork.session import written
 from sheafwork.sources.tables import latest, table
 
 plans = Plans()
@@ -50,6 +51,12 @@ def sheets(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("text is not null").unionByName(end)
 
 
+def _located(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Sheets and the locations of their tables, each written once as several steps read them."""
+    cells = written(sheets(spark, sf), "sheets")
+    return cells, written(Q.locate_tables(cells), "located")
+
+
 _LINES = f"lines AS (SELECT sheet, row, string_agg({S.strip('text')}, ' ' ORDER BY col) AS line FROM cells WHERE {S.strip('text')} <> '' GROUP BY sheet, row)"
 _COMP = f"""full_ AS (SELECT *, max(row) OVER (PARTITION BY sheet) + 1 AS n FROM cells),
     w AS (SELECT sheet, row, col, text, n, CAST(row - b AS INTEGER) AS start, CAST(depth AS INTEGER) AS depth FROM full_, (VALUES (1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)) v(depth, b) WHERE {S.strip('text')} <> ''),
@@ -119,30 +126,29 @@ def hdr_claims(spark: SparkSession, sf: str) -> DataFrame:
 @query("tbl_locate", f"{_ALL} SELECT sheet, header_row, depth, CAST(matched AS INTEGER) AS matched, CAST(first_data_row AS INTEGER) AS first_data_row FROM loc")
 def tbl_locate(spark: SparkSession, sf: str) -> DataFrame:
     """Where the table of each sheet begins."""
-    return Q.locate_tables(sheets(spark, sf)).select("sheet", "header_row", "depth", "matched", "first_data_row")
+    return _located(spark, sf)[1].select("sheet", "header_row", "depth", "matched", "first_data_row")
 
 
 @query("quote_items", f"{_ALL}{_ITEMS_SQL} SELECT sheet, CAST(row AS INTEGER) AS row, ref, description, qty, unit_price, discount, discounted_price, total FROM items")
 def quote_items(spark: SparkSession, sf: str) -> DataFrame:
     """Line items of all sheets as exact decimals."""
-    cells = sheets(spark, sf)
-    return Q.extract_items(cells, Q.locate_tables(cells))
+    cells, located = _located(spark, sf)
+    return Q.extract_items(cells, located)
 
 
 @query("quote_batch", f"{_ALL}{_ITEMS_SQL} SELECT count(DISTINCT sheet) AS sheets, count(*) AS items, sum(total) AS total FROM items")
 def quote_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Sheets with items, items and their sum."""
-    cells = sheets(spark, sf)
-    items = Q.extract_items(cells, Q.locate_tables(cells))
+    cells, located = _located(spark, sf)
+    items = Q.extract_items(cells, located)
     return items.agg(F.countDistinct("sheet").alias("sheets"), F.count("*").alias("items"), F.sum("total").cast("decimal(38,8)").alias("total"))
 
 
 @query("quote_warnings", f"{_ALL}{_ITEMS_SQL} SELECT sheet, 'no table found' AS warning FROM (SELECT DISTINCT sheet FROM cells) WHERE sheet NOT IN (SELECT sheet FROM loc) UNION ALL SELECT sheet, 'no line items' FROM loc WHERE sheet NOT IN (SELECT sheet FROM items)")
 def quote_warnings(spark: SparkSession, sf: str) -> DataFrame:
     """Sheets that need a look."""
-    cells = sheets(spark, sf)
-    locations = Q.locate_tables(cells)
-    return Q.warnings(cells, Q.extract_items(cells, locations), locations)
+    cells, located = _located(spark, sf)
+    return Q.warnings(cells, written(Q.extract_items(cells, located), "items"), located)
 
 
 @query("quote_header")
