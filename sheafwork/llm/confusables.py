@@ -1,8 +1,9 @@
 """Visually identical text with different characters: confusables skeletons and the consistent form.
 
 Skeleton: decompose, replace every character by its prototype, decompose again. Texts with one skeleton look
-alike and form one group. The consistent form keeps what a reader sees: it composes letters again and
-changes a look-alike letter only inside a word of mixed scripts.
+alike and form one group. The consistent form is a member of its text's group: a word of mixed scripts becomes
+its prototypes where these are letters of one script (back-translated where the word's home is another), letters
+are composed again, and a form whose skeleton is not that of its text is refused.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ _SAME_INK = {"I": "l", "1": "l", "|": "l", "0": "O", "’": "'", "‘": "'", "
 # Latin letters written as one character, beside the ligatures of U+FB00 to U+FB06.
 _JOINED = "ĲĳĿŀŉǄǅǆǇǈǉǊǋǌǱǲǳ"
 _GONE = re.compile(INVISIBLE)
-_FOREIGN = re.compile(r"[Ͱ-ϿЀ-ԯἀ-῿]")
+_FOREIGN = re.compile(r"[Ͱ-ϿЀ-ԯ԰-֏Ꭰ-ᏽἀ-῿]")
 _RUN = re.compile(r"[^\W_]+", re.UNICODE)
 
 
@@ -51,9 +52,9 @@ def _single() -> dict[int, str | None]:
 @lru_cache(1)
 def _back() -> dict[str, dict[str, str]]:
     """Latin letter -> look-alike, by script."""
-    out: dict[str, dict[str, str]] = {"CYRILLIC": {}, "GREEK": {}}
+    out: dict[str, dict[str, str]] = {}
     for other, latin in LOOKALIKE.items():
-        out[_script(other)].setdefault(latin, other)
+        out.setdefault(_script(other), {}).setdefault(latin, other)
     return out
 
 
@@ -91,18 +92,22 @@ def _marks_joined(word: str) -> str:
 
 
 def clean_text(text: str) -> str:
-    """The consistent form of one text."""
-    text = text.translate(_single())
-    if _FOREIGN.search(text):
-        text = re.sub(r"\S+", lambda m: _marks_joined(m.group()) if _FOREIGN.search(m.group()) else m.group(), unicodedata.normalize("NFD", text))
-    return unicodedata.normalize("NFC", text)
+    """The consistent form of one text: the form of one script among the texts of its skeleton."""
+    plain = text.translate(_single())
+    if not _FOREIGN.search(plain):
+        return unicodedata.normalize("NFC", plain)
+    one = re.sub(r"\S+", lambda m: _marks_joined(m.group()) if _FOREIGN.search(m.group()) else m.group(), unicodedata.normalize("NFD", plain))
+    return unicodedata.normalize("NFC", one if _prototypes(one) == _prototypes(plain) else plain)
 
 
 def skeleton_text(text: str) -> str:
     """The skeleton of one text; equal skeletons look alike."""
-    text = unicodedata.normalize("NFD", text.translate(_single()))
-    text = "".join(LOOKALIKE.get(c, c) for c in text)
-    return unicodedata.normalize("NFD", "".join(_SAME_INK.get(c, c) for c in text))
+    return unicodedata.normalize("NFD", "".join(_SAME_INK.get(c, c) for c in _prototypes(text.translate(_single()))))
+
+
+def _prototypes(text: str) -> str:
+    """Decomposed text with every look-alike as its prototype."""
+    return unicodedata.normalize("NFD", "".join(LOOKALIKE.get(c, c) for c in unicodedata.normalize("NFD", text)))
 
 
 @F.pandas_udf(StringType())

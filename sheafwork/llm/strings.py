@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 from sheafwork.llm.confusables import clean_text
@@ -40,6 +41,23 @@ def similarity(a: str, b: str) -> float:
     return 1.0 - distance(a, b) / max(len(a), len(b), 1)
 
 
+@lru_cache(50_000)
+def _letters(a: str) -> Counter:
+    return Counter(a)
+
+
+def similarity_from(a: str, b: str, least: float) -> float:
+    """The similarity of two strings if it is at least `least`, else 0; lengths and letters rule most out before edits are counted."""
+    if a == b:
+        return 1.0
+    longer = max(len(a), len(b), 1)
+    edits = int((1.0 - least) * longer + 1e-9)
+    if abs(len(a) - len(b)) > edits or longer - (_letters(a) & _letters(b)).total() > edits:
+        return 0.0
+    d = distance(a, b)
+    return 1.0 - d / longer if d <= edits else 0.0
+
+
 def abbreviates(short: str, word: str) -> bool:
     """Whether `short` (at least two letters) keeps the first letter of `word` and some of the others in order."""
     if not 2 <= len(short) < len(word) or short[0] != word[0]:
