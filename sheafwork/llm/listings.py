@@ -27,6 +27,7 @@ from sheafwork.llm.strings import distance, fold
 from sheafwork.session import written
 
 LIKE = 0.5  #: share of told properties from which two forms may be one article
+IN_CALL = 5000  #: forms solved in one call of Python, about; a component is never divided
 MISSING = 2  #: properties that the shorter of two forms may leave out
 TYPO_RATIO = 4  #: a spelling is a typing error of a neighbour at least this many times as frequent
 # Words of colours, materials and other properties, by the value they mean.
@@ -298,14 +299,14 @@ def _pairings(forms: dict[str, Form], offers: list[tuple[str, ...]]) -> dict[tup
     return out
 
 
-def _component(rows: pd.DataFrame) -> pd.DataFrame:
-    """form, article, how of one component, from its different offers: how a form came to its article (matching, fitting, alone).
+def _component(offered: list) -> list[tuple[str, str, str]]:
+    """(form, article, how) of one component, from its different offers: how a form came to its article (matching, fitting, alone).
 
     A form with equally good partners that contradict each other, of any seller, stays alone.
     """
     forms: dict[str, Form] = {}
     offers = []
-    for offer in rows["offer"]:
+    for offer in offered:
         offers.append(tuple(sorted(f["form"] for f in offer)))
         for f in offer:
             forms[f["form"]] = (dict(v.split("=", 1) for v in f["values"]), {f["number"]} if f["number"] else set())
@@ -337,7 +338,15 @@ def _component(rows: pd.DataFrame) -> pd.DataFrame:
     for x, classes in fits.items():
         if len(classes) == 1:
             merge(x, classes[0], "fitting")
-    return pd.DataFrame([(f, home[f], how[f]) for f in forms], columns=["form", "article", "how"])
+    return [(f, home[f], how[f]) for f in forms]
+
+
+def _solved(rows: pd.DataFrame) -> pd.DataFrame:
+    """Many components in one call, as a call costs more than a component."""
+    by: dict[str, list] = defaultdict(list)
+    for component, offer in zip(rows["component"], rows["offer"]):
+        by[component].append(offer)
+    return pd.DataFrame([r for offered in by.values() for r in _component(offered)], columns=["form", "article", "how"])
 
 
 def _without(values: Column, n: int) -> Column:
@@ -400,6 +409,8 @@ def match_listings(items: DataFrame, makers: DataFrame) -> DataFrame:
     edges = written(_edges(forms), "edges")
     parts = _components(edges)
     inside = rows.join(parts, "form").groupBy("component", "seller").agg(F.array_sort(F.collect_set(F.struct("form", "values", "number"))).alias("offer"))
-    solved = inside.select("component", "offer").distinct().groupBy("component").applyInPandas(_component, "form string, article string, how string")
+    calls = max(1, parts.count() // IN_CALL)
+    offers = inside.select("component", "offer").distinct()
+    solved = offers.groupBy(F.pmod(F.xxhash64("component"), F.lit(calls)).alias("call")).applyInPandas(_solved, "form string, article string, how string")
     found = rows.select("item_id", "form").join(solved, "form", "left").join(forms.select("form", "n"), "form")
     return found.select("item_id", F.coalesce("article", "form").alias("article"), F.coalesce("how", F.when(F.col("n") > 1, "equal").otherwise("alone")).alias("how"))

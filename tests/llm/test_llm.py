@@ -169,7 +169,7 @@ def test_component_merges_nothing_contradicting():
             key = "|".join(said)
             sellers.setdefault(rng.choice("PQR"), {})[key] = {"form": key, "values": said, "number": ""}
             values[key] = dict(v.split("=") for v in said)
-        got = {r.form: r.article for r in L._component(L.pd.DataFrame({"offer": [list(o.values()) for o in sellers.values()]})).itertuples(index=False)}
+        got = {form: article for form, article, _ in L._component([list(o.values()) for o in sellers.values()])}
         assert got.keys() == values.keys()
         for x, y in itertools.combinations(values, 2):
             if got[x] == got[y]:
