@@ -66,7 +66,7 @@ _MARK = re.compile(
     r"\(price in [^)]*\)|\[all figures [^\]]*\]|[,-]?\s*(?:quoted in|amounts in)\s.*$|/\s*prix en\s.*$|[\[(]?(?:line )?total (?:en milliers|in thousands|in k|x\s?1000|'000)[\])]?"
     r"|-?\s*(?:price|rate|prix) (?:per|pour) (?:10+|ten|hundred|thousand)\b|\bpro 10+ st.ck|\(?(?:per |/\s?)10+ pcs\)?|\*\*hot\*\*|\(promo\)|\b\d yr warranty\b|\b(?:special offer|free delivery|best seller|trade price|value line|latest model|top grade|heavy duty|premium quality|in stock)\b"
 )
-MPN = re.compile(r"(?<![a-z])([a-z]{5})[-/ ]?(0[0-9a-z]{4})(?![0-9a-z])")
+MPN = re.compile(r"(?<![a-z])(?=([a-z]{5})([-/ ]?)([0-9a-z]{5,7})(?![0-9a-z]))")  # candidates may overlap, so nothing is consumed
 _NUM = r"(\d+(?:[.,]\d+)?)\s*-?\s*"
 
 
@@ -163,12 +163,35 @@ def _quantities(kind: str, text: str) -> dict[str, str]:
     return out
 
 
+def _numbers(text: str) -> list[tuple[int, str, tuple[int, int]]]:
+    """Rank, number and place of what may be an article number: five letters and a counter of five to seven places, neither an ordinary word.
+
+    A counter that begins with 0 is one in any notation (3), one with a digit after a hyphen or stroke too (2); other
+    notations (1) and counters of letters alone (0) may be words and sizes.
+    """
+    out = []
+    for m in MPN.finditer(text):
+        head, sep, tail = m.groups()
+        if tail[0] == "0" and len(tail) == 5:
+            rank = 3
+        elif head in _ALL_WORDS or tail in _ALL_WORDS or (tail.isalpha() and _known(tail)):
+            continue
+        else:
+            rank = 0 if tail.isalpha() else 2 if sep in ("-", "/") else 1
+        out.append((rank, head + tail, (m.start(), m.end(3))))
+    return out
+
+
 def parse_listing(description: str | None, ref: str | None) -> dict:
-    """number (article number), kind, values (name=value, sorted), rest (words that may name the series, folded)."""
+    """number (article number), kind, values (name=value, sorted), rest (words that may name the series, folded), maybe (a number if another listing's ref has it)."""
     text = fold(description or "")
-    found = MPN.search(fold(ref or "").replace(":", " ")) or MPN.search(text)
-    number = found[1] + found[2] if found else ""
-    text = _MARK.sub(" ", MPN.sub(" ", text) if number else text)
+    given, said = _numbers(fold(ref or "").replace(":", " ")), _numbers(text)
+    sure = [x for x in said if x[0] >= 2]
+    number = max(given or sure, key=lambda x: x[0], default=(0, ""))[1]
+    maybe = next((n for r, n, (a, b) in said if not r and re.search("[-/]", text[a:b])), "") if not number else ""
+    for _, _, (a, b) in reversed(sure):
+        text = f"{text[:a]} {text[b:]}"
+    text = _MARK.sub(" ", text)
     words = re.findall(r"[a-z][a-z0-9./-]*[a-z0-9]|[a-z]|4k\b|4-colour|1080p|1440p|2160p", text)
     known = [(w, _known(w.rstrip("."))) for w in words]
     kind = _kind([k or w for w, k in known])
@@ -182,15 +205,15 @@ def parse_listing(description: str | None, ref: str | None) -> dict:
     for _, w in said:
         if w in vocabulary and vocabulary[w][0] not in values:
             values[vocabulary[w][0]] = vocabulary[w][1]
-    return {"number": number, "kind": kind, "values": sorted(f"{k}={v}" for k, v in values.items()), "rest": rest}
+    return {"number": number, "kind": kind, "values": sorted(f"{k}={v}" for k, v in values.items()), "rest": rest, "maybe": maybe}
 
 
-_PARSED = StructType([StructField("number", StringType()), StructField("kind", StringType()), StructField("values", ArrayType(StringType())), StructField("rest", ArrayType(StringType()))])
+_PARSED = StructType([StructField("number", StringType()), StructField("kind", StringType()), StructField("values", ArrayType(StringType())), StructField("rest", ArrayType(StringType())), StructField("maybe", StringType())])
 
 
 @F.pandas_udf(_PARSED)
 def _parse(descriptions: pd.Series, refs: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_listing(d, r) for d, r in zip(descriptions, refs)], columns=["number", "kind", "values", "rest"])
+    return pd.DataFrame([parse_listing(d, r) for d, r in zip(descriptions, refs)], columns=[f.name for f in _PARSED])
 
 
 def _deletions(word):
@@ -216,6 +239,9 @@ def correct_words(words: DataFrame, ratio: int = TYPO_RATIO) -> DataFrame:
 def _read(items: DataFrame, makers: DataFrame) -> DataFrame:
     """item_id, seller, series (the block), values (with the kind), number. The series of an article number is the one most of its listings give."""
     parsed = written(items.withColumn("p", _parse("description", "ref")).select("item_id", "seller", "p.*"), "read")
+    told = parsed.where("number <> ''").select(F.col("number").alias("maybe"), F.col("number").alias("sure")).distinct()
+    doubtful = parsed.where("maybe <> ''").join(told, "maybe", "left").withColumn("number", F.coalesce("sure", "number")).drop("sure")
+    parsed = parsed.where("maybe = ''").unionByName(doubtful).drop("maybe")
     words = parsed.select("item_id", F.explode("rest").alias("word"))
     makers = makers.select(F.lower("name").alias("right")).distinct()
     right = written(correct_words(words.select("word")).join(makers, "right", "left_anti"), "right")
@@ -302,7 +328,7 @@ def _pairings(forms: dict[str, Form], offers: list[tuple[str, ...]]) -> dict[tup
 def _component(offered: list) -> list[tuple[str, str, str]]:
     """(form, article, how) of one component, from its different offers: how a form came to its article (matching, fitting, alone).
 
-    A form with equally good partners that contradict each other, of any seller, stays alone.
+    A form with equally good partners that contradict each other, of any seller, joins by its article number only.
     """
     forms: dict[str, Form] = {}
     offers = []
@@ -330,8 +356,12 @@ def _component(offered: list) -> list[tuple[str, str, str]]:
             how.update({f: way for f in (x, y) if how[f] == "alone"})
 
     for (x, y), _ in sorted(_pairings(forms, sorted(set(offers))).items(), key=lambda m: (-m[1], m[0])):
-        if x not in torn and y not in torn:
+        if (x not in torn and y not in torn) or forms[x][1] & forms[y][1]:
             merge(x, y, "matching")  # values that contradict what is merged so far close a contradicting cycle
+    hub: dict[str, str] = {}
+    for x in sorted(forms):
+        for n in forms[x][1]:
+            merge(x, hub.setdefault(n, x), "fitting")
     size = Counter(home.values())
     alone = sorted(x for x in forms if x not in torn and size[home[x]] == 1)
     fits = {x: [c for c in sorted(joined) if c != x and c not in torn and _score(forms[x], joined[c]) > 0] for x in alone}

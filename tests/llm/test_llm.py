@@ -187,6 +187,25 @@ def test_articles_of_no_known_kind_and_one_article_number(spark):
     assert len({got[i][0] for i in (4, 5, 6, 7)}) == 1 and got[5][1] == "matching"
 
 
+@pytest.mark.parametrize(("description", "ref", "number", "maybe"), [
+    ("hose 10 m", "FOTSH 01965", "fotsh01965", ""), ("hose 10 m", "Art. FOTSH-1A9K5", "fotsh1a9k5", ""), ("hose 10 m", "fotshz9k5a", "fotshz9k5a", ""), ("hose 10 m", "MPN:FOTSH/10A9K5", "fotsh10a9k5", ""), ("hose 10 m", "FOTSH-ABCDE", "fotshabcde", ""),
+    ("satin FOTSH-1A9K5 hose 10 m", "47230", "fotsh1a9k5", ""), ("hose FOTSH-ABCDE 10 m", None, "", "fotshabcde"), ("toner yield 12000 pages", "34-D9422", "", ""), ("galvanised paint 5000ml water 250mm", "", "", ""), ("copier paper", "black fabric", "", ""),
+])
+def test_article_numbers_of_any_counter(description, ref, number, maybe):
+    got = L.parse_listing(description, ref)
+    assert (got["number"], got["maybe"]) == (number, maybe)
+
+
+def test_one_article_number_joins_what_fits_contradicting_articles(spark):
+    rows = [
+        (1, "A", "Kovamir hose 3/4in 10 m red", "KOVHO-1A2B3"), (2, "B", "Kovamir hose 3/4in 10 m", "KOVHO/1A2B3"), (3, "C", "Kovamir hose 3/4in 10 m blue", None), (4, "D", "Kovamir hose 3/4in 10 m green", None),
+        (5, "A", "Zotuvel hose 3/4in 10 m red", "ZOTHO-ABCDE"), (6, "E", "Zotuvel hose ZOTHO-ABCDE", None), (7, "A", "Zotuvel hose 10 m red", "ZOTHO ABCDE"),
+    ]
+    df = spark.createDataFrame(rows, "item_id bigint, seller string, description string, ref string")
+    got = {r.item_id: r.article for r in L.match_listings(df, spark.createDataFrame([], "name string")).collect()}
+    assert got[1] == got[2] and len({got[1], got[3], got[4]}) == 3 and got[5] == got[6] == got[7]
+
+
 def test_edges_against_all_pairs(spark):
     rng = random.Random(12)
     forms = {}
