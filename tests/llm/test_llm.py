@@ -85,6 +85,14 @@ def test_collision_curve(spark):
     assert hit / len(typed) >= 0.9 and len(pairs) < 20 * len(words)
 
 
+def test_bands_carry_no_texts(spark):
+    keys = spark.createDataFrame([(i, (kind, business, [S.grams("wobigurn", 3)]), True) for i, (kind, business) in enumerate([("firm", "marine"), ("firm", "textiles"), ("firm", ""), ("person", "")])], "id bigint, p struct<kind:string,business:string,shingles:array<array<string>>>, whole boolean")
+    bands = N._bands(keys, "id")
+    assert {t for _, t in bands.dtypes} == {"bigint", "int", "boolean"}
+    got = {r.a: set(r.others) for r in N._candidates(bands, F.col("wb")).collect()}
+    assert got == {0: {2}, 1: {2}, 2: {0, 1}}  # sister firms, and a person and a firm, are never candidates
+
+
 # ---- reference list
 def test_prefix_filter_loses_nothing(spark):
     rng = random.Random(4)
