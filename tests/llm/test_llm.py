@@ -304,6 +304,14 @@ def test_subjects(spark):
     assert subjects.assign_subjects(d.where("false"), areas, lab).count() == 0
 
 
+def test_every_document_is_fitted(spark):
+    docs = spark.range(20_500).selectExpr("id as doc_id", "concat('common phrase here. ', if(id % 2 = 0, 'plaintiff tort appeal', 'buffet menu pastry'), if(id = 20499, ' singular', '')) as text")
+    every, leaves = subjects.fit_leaves(subjects.vectors(docs), 2)
+    spread = every.mapInPandas(subjects._spread, "word string, leaf int, c double").groupBy("word").agg(F.sum("c").alias("c"))
+    got = {r.word: r.c for r in spread.collect()}
+    assert leaves == 2 and got["common"] == 20_500 and got["tort"] == 10_250 and got["singular"] == 1
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("hello world",), (None,), ("",), ("<|endoftext|>",), ("a" * 30_000,)], "text string")
     got = [r.n for r in df.select(tokens.token_count(F.col("text")).alias("n")).collect()]
