@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -40,24 +42,31 @@ def xlsx_books(spark: SparkSession, sf: str) -> DataFrame:
     return xlsx.to_workbooks(book_cells(spark, sf)).where("length(content) > 0").select("doc_id")
 
 
-def _draw(page: pd.DataFrame) -> pd.DataFrame:
-    """Draw the rules of a page at 72 dpi and find them again."""
-    image = np.full((900, 900), 255, np.uint8)
-    for o, at, low, high in zip(page["orientation"], page["position"], page["low"], page["high"]):
-        a, c, d = int(at), max(0, int(low)), min(899, int(high))
-        if o == "h":
-            image[a : a + 1, c:d] = 0
-        else:
-            image[c:d, a : a + 1] = 0
-    found = raster.find_rulings(raster.binary(image), 72)
-    return pd.DataFrame([(page["doc_id"].iloc[0], page["page_number"].iloc[0], *f) for f in found], columns=["doc_id", "page_number", "orientation", "position", "low", "high", "stroke"])
+_FOUND = "doc_id bigint, page_number int, orientation string, position double, low double, high double, stroke double"
+
+
+def _draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Draw the rules of each page at 72 dpi and find them again."""
+    for batch in batches:
+        out = []
+        for doc, number, *lines in batch.itertuples(index=False):
+            image = np.full((900, 900), 255, np.uint8)
+            for o, at, low, high in zip(*lines):
+                a, c, d = int(at), max(0, int(low)), min(899, int(high))
+                if o == "h":
+                    image[a : a + 1, c:d] = 0
+                else:
+                    image[c:d, a : a + 1] = 0
+            out += [(doc, number, *f) for f in raster.find_rulings(raster.binary(image), 72)]
+        yield pd.DataFrame(out, columns=["doc_id", "page_number", "orientation", "position", "low", "high", "stroke"])
 
 
 @query("raster_rulings")
 def raster_rulings(spark: SparkSession, sf: str) -> DataFrame:
     """Rules found on page images, drawn from long made rules."""
-    long = rules(spark, sf).withColumn("high", F.col("high") + 60)
-    return long.groupBy(*PAGE).applyInPandas(_draw, "doc_id bigint, page_number int, orientation string, position double, low double, high double, stroke double")
+    long = rules(spark, sf).select(*PAGE, F.struct("orientation", "position", "low", (F.col("high") + 60).alias("high")).alias("r"))
+    pages = long.groupBy(*PAGE).agg(F.collect_list("r").alias("r"))
+    return pages.select(*PAGE, *[F.col(f"r.{c}").alias(c) for c in ("orientation", "position", "low", "high")]).mapInPandas(_draw, _FOUND)
 
 
 @query("reader_echo", "SELECT count(*) AS cells, count(*) AS agree FROM (SELECT DISTINCT cell_id FROM grid_cells WHERE text IS NOT NULL)")

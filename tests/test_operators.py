@@ -6,6 +6,8 @@ from sheafwork.functions import raster
 from sheafwork.operators import geometry as G, layout as Y
 from sheafwork.sources import readers, xlsx
 from sheafwork.sources.tables import latest
+import pandas as pd
+from sheafwork.plans import edges
 
 
 def test_line_fold_against_a_loop(spark):
@@ -85,3 +87,16 @@ def test_readers(spark):
         readers.get_reader("none")
     df = spark.createDataFrame([(1, "a"), (2, None)], "cell_id bigint, text string")
     assert {r.cell_id: r.reading for r in readers.read_cells(df, "silent").collect()} == {1: "", 2: ""}
+
+
+def test_rules_of_many_pages_in_one_call():
+    page = {"doc_id": [1, 1, 2], "page_number": [1, 2, 1], "orientation": [["h", "v"], ["h"], []], "position": [[50.0, 20.0], [70.0], []], "low": [[10.0, 100.0], [5.0], []], "high": [[110.0, 200.0], [30.0], []]}
+    found = [tuple(r) for out in edges._draw(iter([pd.DataFrame(page)])) for r in out.itertuples(index=False)]
+    assert found == [(1, 1, "h", 50.5, 10.0, 110.0, 1.0), (1, 1, "v", 20.5, 100.0, 200.0, 1.0)]  # the rule of 25 points is too short
+
+
+def test_two_values_part_as_any_image():
+    image = np.full((40, 60), 200, np.uint8)
+    image[5:9, 3:50] = 30
+    assert raster.otsu(image) == 30 and (raster.binary(image) == np.where(image == 30, 255, 0)).all()
+    assert raster.find_rulings(raster.binary(image), 72) == [("h", 7.0, 3.0, 50.0, 4.0)]
