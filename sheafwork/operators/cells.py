@@ -31,7 +31,8 @@ def shrink_spans(cells: DataFrame, keys: list[str], id_: str = "cell_id") -> Dat
 def best_edges(cells: DataFrame, rulings: DataFrame, keys: list[str], color: bool = False) -> DataFrame:
     """cell_id, edge, stroke (and color, if asked for): the heaviest ruling that covers EDGE_COVER of each edge within EDGE_TOL, the first on ties.
 
-    Edges and rulings meet in bins of the position, so the work is in neighbours, not in pairs of a page.
+    Edges and rulings meet in bins of the position, so the work is in neighbours, not in pairs of a page. Both grow with
+    the input and are judged too small by the size of their compressed files, so neither is broadcast.
     """
     b = lambda c: F.col(f"bbox.{c}")
     edges = F.array(
@@ -42,7 +43,7 @@ def best_edges(cells: DataFrame, rulings: DataFrame, keys: list[str], color: boo
     e = cells.where("bbox is not null").select(*keys, "cell_id", F.inline(edges)).where(F.col("to") > F.col("from"))
     e = e.withColumn("bin", F.explode(F.sequence(F.floor((F.col("at") - EDGE_TOL) / width), F.floor((F.col("at") + EDGE_TOL) / width))))
     r = rulings.withColumn("bin", F.floor(F.col("position") / width))
-    pairs = e.join(r, [*keys, "orientation", "bin"]).where(F.abs(F.col("position") - F.col("at")) <= EDGE_TOL)
+    pairs = e.join(r.hint("merge"), [*keys, "orientation", "bin"]).where(F.abs(F.col("position") - F.col("at")) <= EDGE_TOL)
     cover = (F.least("to", "high") - F.greatest("from", "low")) / (F.col("to") - F.col("from"))
     good = pairs.where(cover >= EDGE_COVER)
     more = ["color"] if color else []

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheafwork.functions import raster
-from sheafwork.operators import geometry as G, layout as Y
+from sheafwork.operators import cells as C, geometry as G, layout as Y
 from sheafwork.sources import readers, xlsx
 from sheafwork.sources.tables import latest
 import pandas as pd
@@ -100,3 +100,11 @@ def test_two_values_part_as_any_image():
     image[5:9, 3:50] = 30
     assert raster.otsu(image) == 30 and (raster.binary(image) == np.where(image == 30, 255, 0)).all()
     assert raster.find_rulings(raster.binary(image), 72) == [("h", 7.0, 3.0, 50.0, 4.0)]
+
+
+def test_rulings_are_not_broadcast(spark):
+    cells = spark.sql("select id as cell_id, 1 as doc_id, named_struct('x0', 0D, 'top', 10D * id, 'x1', 50D, 'bottom', 10D * id + 9) as bbox from range(3)")
+    rulings = spark.sql("select 1 as doc_id, 0 as ord, 'h' as orientation, 10D as position, 0D as low, 50D as high, 1D as stroke")
+    found = C.best_edges(cells, rulings, ["doc_id"])
+    assert {(r.cell_id, r.edge) for r in found.collect()} == {(0, "bottom"), (1, "top")}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
