@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sheafwork.functions.labels import border_style, near_white
-from sheafwork.functions.values import strip
+from sheafwork.functions.values import let, strip
 from sheafwork.operators import cells as C, geometry as G, layout as Y
 from sheafwork.operators.layout import PAGE
 from sheafwork.session import written
@@ -192,7 +192,8 @@ def row_bounds(bands: DataFrame) -> DataFrame:
     """PAGE, rows: boundaries of the rows from the upper to the lower edge of the content."""
     b = F.col("bands")
     whole = F.concat(F.array(F.least("upper", F.get(b, F.lit(0))["top"])), between(b), F.array(F.greatest("lower", F.element_at(b, -1)["bottom"])))
-    return bands.select(*PAGE, G.prune(F.when(F.size(b) > 0, whole).otherwise(F.array("upper", "lower")), LEAST_BAND).alias("rows"))
+    every = F.when(F.size(b) > 0, whole).otherwise(F.array("upper", "lower"))
+    return bands.select(*PAGE, let(every, lambda e: G.prune(e, LEAST_BAND)).alias("rows"))
 
 
 def crossing(spans: Column, at: Column) -> Column:
@@ -226,9 +227,13 @@ def line_runs(gaps: DataFrame, lines: DataFrame, bounds: DataFrame, corridors: D
 
 def _enclosed(low: Column, high: Column, rules: Column, bounds: Column) -> Column:
     """struct(first, last) of the bands between the rulings nearest outside an interval; null where there are none or they are no boundaries."""
-    before, after = F.array_max(F.filter(rules, lambda r: r <= low + TOUCH)), F.array_min(F.filter(rules, lambda r: r >= high - TOUCH))
-    a, b = G.nearest_boundary(before, bounds), G.nearest_boundary(after, bounds)
-    return F.when((F.size(rules) >= 2) & (b > a), F.struct(a.alias("first"), F.least(b - 1, F.size(bounds) - 2).alias("last")))
+
+    def ends(rs: Column) -> Column:
+        before, after = F.array_max(F.filter(rs, lambda r: r <= low + TOUCH)), F.array_min(F.filter(rs, lambda r: r >= high - TOUCH))
+        return F.struct(let(before, lambda v: G.nearest_boundary(v, bounds)).alias("a"), let(after, lambda v: G.nearest_boundary(v, bounds)).alias("b"))
+
+    found = lambda e: F.when(e["b"] > e["a"], F.struct(e["a"].alias("first"), F.least(e["b"] - 1, F.size(bounds) - 2).alias("last")))
+    return let(rules, lambda rs: F.when(F.size(rs) >= 2, let(ends(rs), found)))
 
 
 def spanned(runs: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -255,7 +260,7 @@ def assembled(placed: DataFrame) -> DataFrame:
         *PAGE, "row_idx", "col_idx", "text", *G.box(), "col_span", "f.row_span", "f.confidence", "f.lead.source", F.coalesce(F.nullif("f.lead.font_name", F.lit("")), F.lit("Calibri")).alias("font_name"),
         F.when(F.col("f.lead.font_size") > 0, F.col("f.lead.font_size")).otherwise(11.0).alias("font_size"), "f.lead.bold", "f.lead.italic", F.col("f.lead.color").alias("font_color"),
     )
-    named = cells.withColumn("cell_id", F.concat_ws("/", *PAGE, "row_idx", "col_idx"))
+    named = written(cells.withColumn("cell_id", F.concat_ws("/", *PAGE, "row_idx", "col_idx")), "slots")  # the spans read it four times
     shrunk = C.shrink_spans(named, PAGE)
     return shrunk.drop("col_span", "row_span").withColumnsRenamed({"new_col_span": "col_span", "new_row_span": "row_span"})
 

@@ -10,6 +10,7 @@ from sheafwork.plans import sqltext as S
 from sheafwork.plans.cells import PAGE, _C, cells
 from sheafwork.plans.layout import _BINS, pruned
 from sheafwork.plans.registry import Plans
+from sheafwork.session import written
 
 plans = Plans()
 QUERIES, ORACLE, query = plans.queries, plans.oracle, plans.query
@@ -20,6 +21,7 @@ def made(spark: SparkSession, sf: str) -> G.Pages:
     """Pages of 700 x 842 points. A word ends before its cell does, so that there are gaps; headings are shaded on every third page, an image stands above the text of every fifth."""
     i, b = F.col("cell_id"), lambda k: F.col(f"bbox.{k}")
     full = cells(spark, sf, *PAGE, "ord", "text", "cell_role", "style", "bbox", "source", "confidence").where("bbox is not null")
+    full = written(full, "page_cells")
     words = full.where(strip(F.col("text")) != "").select(
         i.alias("word_id"), *PAGE, "ord", "text", b("x0").alias("x0"), b("top").alias("top"), F.greatest(b("x0") + 5, b("x1") - 8 - i % 5 * 6).alias("x1"), b("bottom").alias("bottom"),
         F.lit("Helvetica").alias("font_name"), F.col("style.font_size").alias("font_size"), F.col("style.bold").alias("bold"), F.lit(False).alias("italic"), F.lit("000000").alias("color"), "source", "confidence",
@@ -28,7 +30,7 @@ def made(spark: SparkSession, sf: str) -> G.Pages:
     edge = lambda o, at, low, high: F.struct(F.lit(o).alias("orientation"), at.alias("position"), low.alias("low"), high.alias("high"))
     x0, x1, y0, y1 = b("x0") - 2, b("x1") + 2, b("top") - 4, b("top") + 16
     lines = table_.where("doc_id % 2 = 0").select(*PAGE, "ord", F.inline(F.array(edge("h", y0, x0, x1), edge("h", y1, x0, x1), edge("v", x0, y0, y1), edge("v", x1, y0, y1))))
-    rulings = geometry.merge_rulings(lines.withColumns({"stroke": F.lit(0.75), "color": F.lit("262626")}), PAGE)
+    rulings = written(geometry.merge_rulings(lines.withColumns({"stroke": F.lit(0.75), "color": F.lit("262626")}), PAGE), "rulings")
     rects = table_.where("cell_role = 'heading' and doc_id % 3 = 0").select(*PAGE, "ord", x0.alias("x0"), y0.alias("top"), x1.alias("x1"), y1.alias("bottom"), F.lit("D9E1F2").alias("fill"))
     pages = full.select(*PAGE).distinct()
     images = pages.where("doc_id % 5 = 0").select(*PAGE, F.lit(0).alias("ord"), F.lit(60.0).alias("x0"), F.lit(5.0).alias("top"), F.lit(156.0).alias("x1"), F.lit(45.0).alias("bottom"))
